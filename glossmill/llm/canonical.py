@@ -12,7 +12,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,13 +128,18 @@ def one_form(texts: DataFrame, key: list[str], col: str = "text", out: str = "fo
     return calm.unionByName(rebuilt.select(*key, col, _compose_udf("s").alias(out)))
 
 
-def alike_pairs(forms: DataFrame, id_col: str, col: str = "text", form: str = "form") -> DataFrame:
-    """(``id_a``, ``id_b``), ``id_a`` < ``id_b``: rows with one form whose stored strings differ. Null texts pair with nothing.
+def print_columns(col: str = "text", form: str = "form") -> list[Column]:
+    """128-bit hashes of the form (``f1``, ``f2``) and of the stored string (``s1``, ``s2``)."""
+    return [F.xxhash64(form).alias("f1"), F.xxhash64(F.lit(1), form).alias("f2"), F.xxhash64(col).alias("s1"), F.xxhash64(F.lit(1), col).alias("s2")]
 
-    Strings are hashed first and only forms with more than one stored string are joined, so a form that a third of the rows
-    share costs one row a partition unless it really has variants; then its pairs are the result itself.
+
+def alike_pairs(prints: DataFrame, id_col: str) -> DataFrame:
+    """(``id_a``, ``id_b``), ``id_a`` < ``id_b``: rows with one form whose stored strings differ, from ``print_columns``.
+
+    Only forms with more than one stored string are joined, so a form that a third of the rows share costs one row a
+    partition unless it really has variants; then its pairs are the result itself. Leave null texts out before.
     """
-    rows = forms.where(F.col(form).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(form).alias("f1"), F.xxhash64(F.lit(1), form).alias("f2"), F.xxhash64(col).alias("s1"), F.xxhash64(F.lit(1), col).alias("s2"))
+    rows = prints.select(F.col(id_col).alias("id"), "f1", "f2", "s1", "s2")
     several = rows.groupBy("f1", "f2").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.min("s2").alias("lo2"), F.max("s2").alias("hi2")).where("lo <> hi or lo2 <> hi2").select("f1", "f2")
     few = rows.join(several, ["f1", "f2"])
     a, b = few.alias("a"), few.alias("b")
