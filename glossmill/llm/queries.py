@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.llm import canonical, dedup, langid, leakage, mixing, neardup, site_lines, subjects, truncation
@@ -63,17 +63,18 @@ def _interpretations(spark: SparkSession, d: str) -> DataFrame:
     return raw.unionByName(m.select(F.lit(1).alias("kind"), F.col("m.meaning_id").alias("id"), F.col("m.source_name").alias("source"), F.col("m.text").alias("text")))
 
 
-_FIELD_NAME = F.when(F.col("kind") == 0, "meaning").otherwise("text")
+def _field(kind: Column) -> Column:
+    return F.when(kind == 0, "meaning").otherwise("text")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     texts = _interpretations(spark, d)
-    return truncation.scored(texts, truncation.train(texts)).where("cut").select(_FIELD_NAME.alias("field"), "id")
+    return truncation.scored(texts, truncation.train(texts)).where("cut").select(_field(F.col("kind")).alias("field"), "id")
 
 
 def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     texts = _interpretations(spark, d)
-    return truncation.shares(truncation.scored(texts, truncation.train(texts))).withColumn("field", _FIELD_NAME).drop("kind")
+    return truncation.shares(truncation.scored(texts, truncation.train(texts))).withColumn("field", _field(F.col("kind"))).drop("kind")
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -83,12 +84,12 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = neardup.alike_pairs(_nodes(spark, d), LEAST_LIKENESS, MIN_CHARS)
-    return pairs.select(F.when(F.col("a") % 2 == 0, "meaning").otherwise("text").alias("field"), F.floor(F.col("a") / 2).alias("id_a"), F.floor(F.col("b") / 2).alias("id_b"))
+    return pairs.select(_field(F.col("a") % 2).alias("field"), F.floor(F.col("a") / 2).alias("id_a"), F.floor(F.col("b") / 2).alias("id_b"))
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     g = neardup.groups(_nodes(spark, d), LEAST_LIKENESS, MIN_CHARS)
-    return g.select(F.when(F.col("node") % 2 == 0, "meaning").otherwise("text").alias("field"), F.floor(F.col("node") / 2).alias("id"), F.floor(F.col("group") / 2).alias("group_id"), "links")
+    return g.select(_field(F.col("node") % 2).alias("field"), F.floor(F.col("node") / 2).alias("id"), F.floor(F.col("group") / 2).alias("group_id"), "links")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -22,5 +22,4 @@ r as (select s, line from c join n using (s) where texts >= 5 and texts >= 0.01
 select meaning_id, line_no::integer as line_no from l join r using (s, line)
 """
 
-SQL: dict[str, str] = {"p2_found": P2, "p7_found": P7, "p7_docs": ""}
-SQL.pop("p7_docs")
+SQL: dict[str, str] = {"p2_found": P2, "p7_found": P7}
