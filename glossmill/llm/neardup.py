@@ -28,6 +28,8 @@ from glossmill.session import checkpointed, spread
 
 GROUPS = 6
 PER_VECTOR = 3
+#: Numbers of nodes are sent to all tasks up to this many; beyond it they are joined.
+MAX_SENT = 2_000_000
 _SPOTS = GROUPS * 7 * PER_VECTOR
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
@@ -124,8 +126,10 @@ def alike_nodes(texts: DataFrame, least: float = 0.75, min_chars: int = 300) ->
         .join(form_list.select(F.col("form").alias("fb"), F.col("fold_node").alias("b")), "b")
         .select(F.col("fa").alias("a"), F.col("fb").alias("b"))
     )
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = checkpointed(long.join(wanted, "node", "left_semi").select("node", "text"))
+    wanted = checkpointed(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+    # The texts are by far the widest rows: up to a checked number of wanted nodes they are picked where they lie.
+    picked = F.broadcast(wanted) if wanted.count() <= MAX_SENT else wanted
+    needed = checkpointed(long.join(picked, "node", "left_semi").select("node", "text"))
     told = pairs.join(needed.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(needed.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     links = told.select("a", "b", "ta", "tb").mapInPandas(_verified(least), "a bigint, b bigint, likeness double")
     return links, rep.select("node", "form")
