@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -100,18 +100,31 @@ def shortest(parts: Column) -> Column:
     return F.get(F.array_sort(indexed), 0)["p"]
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def clean_term(norm: Column) -> Column:
     """A translated term without artifacts: doubled forms, leading pronouns, comma variants, index letters, stock endings."""
+    twice, run_on = r"^(.+?)\s*/\s*\1$", r"^(.{4,20})\1$"
+    pronoun, seen = "^(あなた|わたし|私|彼女|彼)(は|が|の)", "^(.{2,}?)(の夢)?を見る(こと|の)?$"
+
+    def first_group(pattern: str) -> Callable[[Column], Column]:
+        return lambda t: F.when(t.rlike(pattern), F.trim(F.regexp_extract(t, pattern, 1))).otherwise(t)
+
+    def without_pronoun(t: Column) -> Column:
+        return let(F.trim(F.regexp_replace(t, pronoun, "")), lambda bare: F.when(bare == "", t).otherwise(bare))
+
+    def one_part(t: Column) -> Column:
+        parts = F.filter(F.transform(F.split(t, "、"), F.trim), lambda p: p != "")
+        return F.when(F.contains(t, F.lit("、")), F.coalesce(shortest(parts), t)).otherwise(t)
+
     t = norm
-    t = F.when(t.rlike(r"^(.+?)\s*/\s*\1$"), F.trim(F.regexp_extract(t, r"^(.+?)\s*/\s*\1$", 1))).otherwise(t)
-    bare = F.trim(F.regexp_replace(t, "^(あなた|わたし|私|彼女|彼)(は|が|の)", ""))
-    t = F.when(bare == "", t).otherwise(bare)
-    parts = F.filter(F.transform(F.split(t, "、"), F.trim), lambda p: p != "")
-    t = F.when(F.contains(t, F.lit("、")) & (F.size(parts) > 0), shortest(parts)).otherwise(t)
-    t = F.when(t.rlike(r"^(.{4,20})\1$"), F.trim(F.regexp_extract(t, r"^(.{4,20})\1$", 1))).otherwise(t)
+    for step in (first_group(twice), without_pronoun, one_part, first_group(run_on)):
+        t = let(t, step)
     t = F.regexp_replace(t, "(?<=[一-鿿ぁ-んァ-ヶー])[a-z]$", "")
-    seen = "^(.{2,}?)(の夢)?を見る(こと|の)?$"
-    t = F.when(t.rlike(seen), F.trim(F.regexp_extract(t, seen, 1))).otherwise(t)
+    t = let(t, first_group(seen))
     return F.trim(F.regexp_replace(t, "(?<=[一-鿿ァ-ヶ])[のにでをへとがはも]$", ""))
 
 
@@ -135,6 +148,11 @@ def truncate_sentences(x: Column, limit: int) -> Column:
     return F.when(F.length(clean) <= limit, clean).otherwise(F.trim(folded))
 
 
+def truncated(x: Column, limit: int) -> Column:
+    """``truncate_sentences`` of an expression that is computed once."""
+    return let(x, lambda y: truncate_sentences(y, limit))
+
+
 # Stock endings of Turkish pages that are cut before translation.
 TURKISH_CUTS = (r"(?isu)Ayrıca şu rüya tabir[\p{L}\p{N}_]* ve yorumlara bakınız.*$", r"(?isu)Bu rüya tabiri şu kaynaklardan.*$")
 
@@ -144,7 +162,7 @@ def source_text(language: Column, text: Column, limit: int = 280) -> Column:
     cut = clean_text(text)
     for pattern in TURKISH_CUTS:
         cut = F.trim(F.regexp_replace(cut, pattern, ""))
-    return truncate_sentences(F.when(language == "tr", cut).otherwise(clean_text(text)), limit)
+    return truncated(F.when(language == "tr", cut).otherwise(clean_text(text)), limit)
 
 
 def clean_meaning(x: Column, limit: int = 220) -> Column:
@@ -152,11 +170,13 @@ def clean_meaning(x: Column, limit: int = 220) -> Column:
     t = clean_text(x)
     for pattern in ("^（「[^」]{1,30}」[^）]{0,10}）\\s*", "^参照[:：]\\s*[^。]{1,40}[。 ]\\s*", "^見る[;；]\\s*\\S{1,20}\\s*"):
         t = F.trim(F.regexp_replace(t, pattern, ""))
-    cut = F.substring(t, 1, limit)
-    last = F.length(cut) - F.locate("。", F.reverse(cut))  # 0-based; the length where there is none
-    found = F.contains(cut, F.lit("。")) & (last * 10 >= limit * 4)
-    short = F.when(found, F.substring(cut, F.lit(1), last + 1)).otherwise(F.concat(F.rtrim(cut), F.lit("…")))
-    return F.trim(F.when(F.length(t) > limit, short).otherwise(t))
+
+    def cut(c: Column) -> Column:
+        last = F.length(c) - F.locate("。", F.reverse(c))  # 0-based; the length where there is none
+        found = F.contains(c, F.lit("。")) & (last * 10 >= limit * 4)
+        return F.when(found, F.substring(c, F.lit(1), last + 1)).otherwise(F.concat(F.rtrim(c), F.lit("…")))
+
+    return F.trim(let(t, lambda y: F.when(F.length(y) > limit, let(F.substring(y, 1, limit), cut)).otherwise(y)))
 
 
 def occurrences(x: Column, word: str) -> Column:
@@ -218,16 +238,19 @@ def essence(x: Column) -> Column:
     lead = "^.{0,42}?(?:ことは|場合(?:は|、)|のは、?|は、|なら、?)(.+)$"
     tail = "^(.*?)(?:こと|の)?(?:を意味します|を意味する|を示しています|を示します|を表しています|を表します|と解釈されます|とされています|と言われています|の(?:兆し|兆候|前兆|しるし)です|を告げています|につながります)$"
 
-    def core(s: Column) -> Column:
-        c = F.regexp_replace(s, "[。!?！？]$", "")
-        c = F.when(F.length(F.regexp_extract(c, lead, 1)) >= 6, F.regexp_extract(c, lead, 1)).otherwise(c)
-        c = F.regexp_replace(c, "^(それは|これは|あなたが|あなたの)", "")
-        c = F.when(F.length(F.regexp_extract(c, tail, 1)) >= 2, F.regexp_extract(c, tail, 1)).otherwise(c)
-        c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[「」『』()（）]", ""), "^[、。・]+", ""), "[、。]$", "")
+    def group(pattern: str, least: int) -> Callable[[Column], Column]:
+        return lambda c: let(F.regexp_extract(c, pattern, 1), lambda g: F.when(F.length(g) >= least, g).otherwise(c))
+
+    def judged(c: Column) -> Column:
         said = c.rlike("(言いました|言われました|によると|曰く|参照)")
         fits = (F.length(c) >= 6) & (F.length(c) <= 55) & clause_complete(c)
         return F.when(said, "").when(fits, c).when(F.length(c) > 55, pack_clauses(c, 48)).otherwise("")
 
+    def core(s: Column) -> Column:
+        c = let(F.regexp_replace(s, "[。!?！？]$", ""), group(lead, 6))
+        c = let(F.regexp_replace(c, "^(それは|これは|あなたが|あなたの)", ""), group(tail, 2))
+        return let(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[「」『』()（）]", ""), "^[、。・]+", ""), "[、。]$", ""), judged)
+
     return F.coalesce(F.get(F.filter(F.transform(sentences, core), lambda c: c != ""), 0), F.lit(""))
 
 

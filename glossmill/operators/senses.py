@@ -19,7 +19,7 @@ def translated_entries(terms: DataFrame, cache: DataFrame) -> DataFrame:
     t = terms.where("term_normalized is not null").select("entry_id", F.struct("term_normalized", "entry_id").alias("ord"), "language", X.clean_text(F.col("term")).alias("own"), F.col("sources"))
     t = translate_lookup(t, cache, "language", "own", "v")
     ja = t.withColumn("norm", X.normalize_key(X.clean_text(F.col("v")))).withColumn("term", X.strip(F.substring(X.clean_term(F.col("norm")), 1, TERM_LIMIT))).where("term <> ''")
-    ja = ja.withColumn("key", X.merge_key(X.normalize_key(F.col("term")))).where("key <> ''")
+    ja = ja.withColumn("key", X.merge_key(F.col("term"))).where("key <> ''")  # the term is in normal form already
     orig = F.substring("own", 1, ORIGINAL_LIMIT)
     return ja.select("entry_id", "ord", "language", "term", "key", orig.alias("orig"), X.normalize_key(orig).alias("okey"), "sources")
 
