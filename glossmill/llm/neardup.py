@@ -7,7 +7,8 @@ with a probability equal to their likeness). The 21 coordinates of a group carry
 each. Each of the 7 non-zero vectors v is a mask that keeps the coordinates whose vector has an odd product with v (12 of
 21) and drops the other 9; a kept selection is hashed to one bucket key. Any two differing vectors have a common
 orthogonal v, so two sketches that differ in at most two coordinates of any group are guaranteed to share a bucket;
-more differences are caught whenever they fall into the nine of one mask. Pairs found this way are verified exactly.
+more differences are caught whenever they fall into the nine of one mask. Pairs found this way whose sketches agree far
+less than those of texts at the limit are dropped; the others are verified exactly.
 
 Texts that differ only in case, white space or punctuation form one node before the search, so that a hot group of copies
 never meets itself in a bucket. Buckets have no size cap.
@@ -31,6 +32,8 @@ PER_VECTOR = 3
 #: Numbers of nodes are sent to all tasks up to this many; beyond it they are joined.
 MAX_SENT = 2_000_000
 _SPOTS = GROUPS * 7 * PER_VECTOR
+#: Coordinates that are compared before texts are.
+_COMPARED = _SPOTS // 2
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
@@ -68,7 +71,20 @@ def _sketch_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for k in range(0, len(pdf), 2000):
             part = pdf.iloc[k : k + 2000]
-            yield pd.DataFrame({"node": part["node"], "f1": part["f1"], "f2": part["f2"], "sketch": sketches([normal(t) for t in part["text"]])})
+            yield pd.DataFrame({"node": part["node"], "sketch": sketches([normal(t) for t in part["text"]])})
+
+
+def _resembling(least: float):
+    """Pairs whose sketches agree nearly as often as those of texts at the limit do (3.5 standard deviations below)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        floor = least - 3.5 * (least * (1 - least) / _COMPARED) ** 0.5
+        for pdf in batches:
+            if len(pdf):
+                x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(len(pdf), _COMPARED) for c in ("sa", "sb"))
+                yield pdf.loc[(x == y).mean(1) >= floor, ["a", "b"]]
+
+    return run
 
 
 def _bucket_keys(sketch: Column, kind: Column) -> Column:
@@ -95,7 +111,8 @@ def _verified(least: float):
 def alike_nodes(texts: DataFrame, least: float = 0.75, min_chars: int = 300) -> tuple[DataFrame, DataFrame]:
     """Pairs and members of alike texts.
 
-    ``texts`` has ``node`` (bigint, unique), ``kind`` (int; only texts of one kind are compared) and ``text``. Null texts
+    ``texts`` has ``node`` (bigint, unique, odd or even as its kind), ``kind`` (0 or 1; only texts of one kind are compared)
+    and ``text``. Null texts
     and texts under ``min_chars`` characters take no part; an empty table gives empty results.
 
     Returns ``links`` (``a``, ``b``, ``likeness``) between the smallest nodes of different written forms, and ``members``
@@ -108,15 +125,15 @@ def alike_nodes(texts: DataFrame, least: float = 0.75, min_chars: int = 300) ->
     prints = checkpointed(prints)
     forms = prints.groupBy("f1", "f2", "w").agg(F.min("node").alias("form"), F.count(F.lit(1)).alias("n"))
     forms = checkpointed(forms)
-    hashed = spread(long).select("node", F.xxhash64("kind", bare).alias("f1"), F.xxhash64(F.lit(1), bare).alias("f2"), "text")
-    sketched = hashed.mapInPandas(_sketch_batches, "node bigint, f1 bigint, f2 bigint, sketch binary")
-    nodes = sketched.groupBy("f1", "f2").agg(F.min(F.struct("node", "sketch")).alias("m"))
-    # Node and kind travel in one number: the caller's node already tells the kind apart through f1, keys are made within a kind.
-    kinds = F.col("m.node") % 2
-    keyed = nodes.select(F.col("m.node").alias("node"), F.explode(_bucket_keys(F.col("m.sketch"), kinds)).alias("key"))
+    sketched = spread(long).select("node", "text").mapInPandas(_sketch_batches, "node bigint, sketch binary")
+    nodes = checkpointed(sketched.join(forms.groupBy("f1", "f2").agg(F.min("form").alias("node")).select("node"), "node", "left_semi"))
+    # The callers' node numbers end in their kind, so that keys are made within a kind.
+    keyed = nodes.select("node", F.explode(_bucket_keys(F.col("sketch"), F.col("node") % 2)).alias("key"))
     x, y = keyed.alias("x"), keyed.alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    met = checkpointed(met)
+    part = nodes.select("node", F.substring("sketch", 1, _COMPARED).alias("s"))
+    told = met.join(part.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(part.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    met = checkpointed(told.select("a", "b", "sa", "sb").mapInPandas(_resembling(least), "a bigint, b bigint"))
     # From nodes (one a fold) to the written forms within them.
     rep = prints.join(forms.select("f1", "f2", "w", "form"), ["f1", "f2", "w"])
     fold_of = forms.groupBy("f1", "f2").agg(F.min("form").alias("fold_node"))
