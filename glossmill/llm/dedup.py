@@ -19,8 +19,8 @@ _FIELD = r"(?s)^[^:：]+[:：]\s*\S.*"
 
 def fold(text: Column) -> Column:
     """Case, white space and punctuation disregarded."""
-    folded = F.regexp_replace(F.lower(F.upper(text)), "i̇", "i")
-    return F.regexp_replace(folded, _DROPPED, "")
+    # Dropping stands between the two conversions because the optimizer would simplify lower(upper(x)), which differs.
+    return F.replace(F.lower(F.regexp_replace(F.upper(text), _DROPPED, "")), F.lit("i̇"), F.lit("i"))
 
 
 def canonical_text(text: Column) -> Column:

@@ -29,8 +29,9 @@ MAX_SENT = 2_000_000
 
 def letters(text: Column) -> Column:
     """What a line is compared by; line breaks stay."""
-    folded = F.regexp_replace(F.lower(F.upper(text)), "i̇", "i")
-    return F.regexp_replace(folded, r"[\p{P}\p{S}\p{Z}\p{Cc}\p{Cf}\p{Nd}&&[^\n]]+", "")
+    # Dropping stands between the two conversions because the optimizer would simplify lower(upper(x)), which differs.
+    kept = F.regexp_replace(F.upper(text), r"[\p{P}\p{S}\p{Z}\p{Cc}\p{Cf}\p{Nd}&&[^\n]]+", "")
+    return F.replace(F.lower(kept), F.lit("i̇"), F.lit("i"))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
