@@ -25,7 +25,7 @@ def fold(text: Column) -> Column:
 
 def canonical_text(text: Column) -> Column:
     """``fold`` of the text; of its sorted fields, each folded, where it is two or more ``label: value`` fields."""
-    parts = F.filter(F.transform(F.split(text, r"[;|\r\n]+"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, r"[;|\r\n]+"), lambda p: F.trim(p)), lambda p: p != "")
     fielded = (F.size(parts) >= 2) & F.forall(parts, lambda p: p.rlike(_FIELD))
     # The cheap test comes first: without a separator there are no two fields.
     maybe = text.rlike(r"[;|\r\n]") & text.rlike("[:：]")

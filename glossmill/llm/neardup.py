@@ -27,7 +27,7 @@ from glossmill.llm.canonical import form_of
 from glossmill.llm.dedup import fold
 from glossmill.session import checkpointed, spread
 
-GROUPS = 8
+GROUPS = 7
 PER_VECTOR = 3
 #: Numbers of nodes are sent to all tasks up to this many; beyond it they are joined.
 MAX_SENT = 2_000_000

@@ -22,4 +22,31 @@ r as (select s, line from c join n using (s) where texts >= 5 and texts >= 0.01
 select meaning_id, line_no::integer as line_no from l join r using (s, line)
 """
 
-SQL: dict[str, str] = {"p2_found": P2, "p7_found": P7}
+_DROP = r"[\pP\pZ\s$+<=>^`|~]+"
+
+
+def _fold(x: str) -> str:
+    return f"replace(lower(regexp_replace(upper({x}), '{_DROP}', '', 'g')), 'i̇', 'i')"
+
+
+_PARTS = r"list_filter(list_transform(regexp_split_to_array(text, '[;|\r\n]+'), lambda p: trim(p)), lambda p: p <> '')"
+_FIELDED = rf"len({_PARTS}) >= 2 and len(list_filter({_PARTS}, lambda p: regexp_matches(p, '(?s)^[^:：]+[:：]\s*\S'))) = len({_PARTS})"
+_RECORDS = f"""
+m as (select term_normalized, unnest(meanings) as m from dream_terms),
+t as (select m.meaning_id as id, {_fold("coalesce(term_normalized, '')")} as k, m.text as text from m where m.text is not null),
+c as (select id, k, case when {_FIELDED} then array_to_string(list_sort(list_transform({_PARTS}, lambda p: {_fold("p")})), chr(1)) else {_fold("text")} end as form from t),
+g as (select k, form, min(id) as keep_id, count(*) as copies from c group by k, form)"""
+
+P2_CLEAN = P2.replace("select meaning_id, line_no::integer as line_no from l join r using (s, line)", "").rstrip() + """,
+d as (select meaning_id, list(line_no) as gone from l join r using (s, line) group by meaning_id)
+select m.meaning_id as meaning_id, m.source_name as source_name,
+  case when gone is null then m.text else array_to_string(list_filter(string_split(m.text, chr(10)), lambda x, k: not list_contains(gone, k)), chr(10)) end as text
+from m left join d on d.meaning_id = m.meaning_id"""
+
+SQL: dict[str, str] = {
+    "p2_found": P2,
+    "p2_clean": P2_CLEAN,
+    "p6_found": f"with {_RECORDS} select keep_id, id as copy_id from c join g using (k, form) where id <> keep_id",
+    "p6_records": f"with {_RECORDS} select keep_id, copies from g",
+    "p7_found": P7,
+}
