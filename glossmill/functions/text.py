@@ -117,7 +117,7 @@ def clean_term(norm: Column) -> Column:
         return let(F.trim(F.regexp_replace(t, pronoun, "")), lambda bare: F.when(bare == "", t).otherwise(bare))
 
     def one_part(t: Column) -> Column:
-        parts = F.filter(F.transform(F.split(t, "、"), F.trim), lambda p: p != "")
+        parts = F.filter(F.transform(F.split(t, "、"), lambda p: F.trim(p)), lambda p: p != "")
         return F.when(F.contains(t, F.lit("、")), F.coalesce(shortest(parts), t)).otherwise(t)
 
     t = norm
@@ -206,7 +206,7 @@ _STRONG = "(こと|です|ます|でしょう|ください|しれません)$"
 
 def pack_clauses(sentence: Column, limit: int) -> Column:
     """The longest run of leading comma clauses within the limit that ends completely; empty under 8 characters."""
-    clauses = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(sentence, F.lit("")), "[。!?！？]$", ""), "、"), F.trim), lambda s: s != "")
+    clauses = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(sentence, F.lit("")), "[。!?！？]$", ""), "、"), lambda p: F.trim(p)), lambda s: s != "")
     prefixes = F.transform(clauses, lambda _, k: F.array_join(F.slice(clauses, F.lit(1), k + 1), "、"))
     # Once one is too long, no longer one is taken.
     fitting = F.filter(prefixes, lambda p: F.length(p) <= limit)
