@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -69,3 +69,27 @@ def batch_fill(items: DataFrame, max_chars: int = 3600, max_items: int = 48, blo
 def fingerprint(*parts: Column, digits: int = 10) -> Column:
     """A short content id."""
     return F.substring(F.sha1(F.to_json(F.struct(*parts))), 1, digits)
+
+
+def translate_batches(items: DataFrame, call: Callable[[str, list[str]], list[str]], max_chars: int = 3600, max_items: int = 48) -> DataFrame:
+    """``lang, text, v``: items sent through ``call(lang, texts)`` batch by batch, on the executors.
+
+    An answer with another number of lines than the batch is not trusted: its items are sent one by one. What fails is null.
+    """
+    placed = batch_fill(items, max_chars, max_items)
+    rows = items.join(placed, ["lang", "entry_id", "slot"]).select("lang", "block", "batch", "entry_id", "slot", "text")
+
+    def told(lang: str, texts: list[str]) -> list[str | None]:
+        try:
+            got = list(call(lang, texts))
+        except Exception:  # a failed call is a missing value, not a failed job
+            got = []
+        if len(got) == len(texts):
+            return got
+        return [None] if len(texts) == 1 else [told(lang, [t])[0] for t in texts]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["entry_id", "slot"])
+        return pd.DataFrame({"lang": pdf["lang"], "text": pdf["text"], "v": told(pdf["lang"].iloc[0], list(pdf["text"]))})
+
+    return rows.groupBy("lang", "block", "batch").applyInPandas(run, "lang string, text string, v string")

@@ -181,3 +181,25 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "lex/summary")).first().entry_count == 1
     readers.write_shards(spark.createDataFrame(pd.DataFrame({"shard": [1, 2], "x": [3, 4]})), str(tmp_path / "shards"))
     assert spark.read.parquet(str(tmp_path / "shards")).where("shard = 2").first().x == 4
+
+
+def test_translator_answers_are_checked(spark):
+    items = spark.createDataFrame([("en", k, 0, f"t{k}") for k in range(60)] + [("tr", 1, 0, "bad"), ("tr", 2, 0, "good")], "lang string, entry_id bigint, slot int, text string")
+
+    def call(lang, texts):
+        if lang == "tr":
+            if texts == ["bad"]:
+                raise ValueError
+            return [t.upper() for t in texts][:1]
+        return [t.upper() for t in texts]
+
+    got = {(r.lang, r.text): r.v for r in translate.translate_batches(items, call).collect()}
+    assert got["en", "t59"] == "T59" and got["tr", "bad"] is None and got["tr", "good"] == "GOOD" and len(got) == 62
+
+
+def test_items_and_todo(spark):
+    terms = spark.createDataFrame([(1, "Dog", "dog", "en", [("Dog",), ("A  friend.",), ("third",)], []), (2, "Dog", "dog", "en", [(None,)], []), (3, "x", "x", "fr", [("y",)], []), (4, None, None, "tr", None, None)], TERMS)
+    items = translate.translation_items(terms)
+    assert sorted((r.text, r.entry_id, r.slot) for r in items.collect()) == [("A friend.", 1, 2), ("Dog", 1, 0)]
+    cache = spark.createDataFrame([("en", "Dog", None, 1)], "lang string, text string, v string, line_no bigint")
+    assert [r.text for r in translate.translation_todo(items, cache).collect()] == ["A friend."]
