@@ -235,6 +235,19 @@ s as (select *, count(*) filter (head) over (partition by entry_id order by pos)
 g as (select entry_id, section, max(line) filter (head) as heading, string_agg(line, chr(10) order by pos) filter (not head) as body from s where section > 0 group by entry_id, section),
 t as (select entry_id, section, {strip("regexp_replace(regexp_replace(" + strip("regexp_replace(heading, '\\[\\d+\\]', '', 'g')") + ", '\\.+$', ''), '^_+|_+$', '', 'g')")} as term, {normalize("body")} as meaning from g)
 select entry_id, section, term, md5(meaning) as meaning_md5 from t where term <> '' and meaning <> ''""",
+    "pattern_pairs": f"""with t as (select entry_id, {strip("term")} as term, unnest(list_transform(meanings, lambda m: coalesce(m.text, ''))) as x, unnest(range(len(meanings))) as pos from dream_terms where regexp_full_match(term, '[^_\n]{{1,80}}')),
+n as (select entry_id, pos, term, {normalize("regexp_replace(x, '^[-—]+', '')")} as meaning from t)
+select entry_id, pos, term, md5(meaning) as meaning_md5 from n where meaning <> '' and term <> ''""",
+    "batch_fill": f"""with recursive {_ITEMS},
+n as (select lang, f[1] as entry_id, f[2] as slot, f[1] // 50000 as block, length(text) as n, row_number() over (partition by lang, f[1] // 50000 order by f[1], f[2]) as k from items),
+r as (
+  select lang, entry_id, slot, block, k, 0 as batch, n + 1 as held, 1 as size from n where k = 1
+  union all
+  select n.lang, n.entry_id, n.slot, n.block, n.k, r.batch + (r.held + n.n > 3600 or r.size >= 48)::integer, case when r.held + n.n > 3600 or r.size >= 48 then n.n + 1 else r.held + n.n + 1 end,
+    case when r.held + n.n > 3600 or r.size >= 48 then 1 else r.size + 1 end
+  from r join n on n.lang = r.lang and n.block = r.block and n.k = r.k + 1
+)
+select lang, entry_id, slot, block, batch from r""",
     "translation_items": f"with {_ITEMS} select lang, md5(text) as text_md5, f[1] as entry_id, f[2]::bigint as slot from items",
     "translation_todo": f"with {_ITEMS} select lang, count(*) as items from items where (lang, text) not in (select (lang, text) from translation_cache where lang is not null and text is not null) group by lang",
     "translate_lookup": "with c as (select lang, text, arg_max_null(v, line_no) as told from translation_cache group by lang, text) select line_no, told from translation_cache left join c using (lang, text) where line_no % 2 = 0",
