@@ -24,7 +24,7 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 
 def keyed(entries: DataFrame) -> DataFrame:
     """Entries that count, with ``term`` cleaned and ``key``: no empty terms or meanings, no English terms of one character."""
-    e = entries.withColumn("term", X.clean_text(F.col("term"))).where(F.col("term") != "").where(F.length(X.clean_text(F.col("meaning"))) > 0)
+    e = entries.withColumn("term", X.clean_text(F.col("term"))).where(F.col("term") != "").where(F.col("meaning").rlike(f"[^{X.WS}]"))
     e = e.where(~((F.coalesce("language", F.lit("")) == "en") & (F.length("term") == 1)))
     return e.withColumn("key", X.casefold(F.col("term"))).withColumn("mkey", F.md5(X.meaning_key(F.col("meaning"))))
 

@@ -11,7 +11,7 @@ from glossmill.functions import text as X
 from glossmill.operators import history, interpret, match, merge, search, senses, translate
 from glossmill.plans import bindings as B
 from glossmill.plans.sql import SQL
-from glossmill.session import checkpointed, table
+from glossmill.session import checkpointed, spread, table
 from glossmill.sources import parsers, readers
 from glossmill.streaming import ingest
 
@@ -26,11 +26,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def _raw(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "raw_entries")
+    return spread(table(s, d, "raw_entries"))
 
 
 def _terms(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "dream_terms")
+    return spread(table(s, d, "dream_terms"))
 
 
 def _cache(s: SparkSession, d: str) -> DataFrame:
