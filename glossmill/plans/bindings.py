@@ -41,8 +41,8 @@ def index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def diaries(spark: SparkSession, d: str) -> DataFrame:
-    """Texts to be read: the entries labelled Japanese."""
-    return table(spark, d, "raw_entries").where("language = 'ja' and meaning is not null").select("ord", F.col("meaning").alias("text"))
+    """Texts to be read: every entry with a meaning, whatever its label says."""
+    return table(spark, d, "raw_entries").where("meaning is not null").select("ord", F.col("meaning").alias("text"))
 
 
 def matched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from glossmill.operators import history, interpret, match, search
+from glossmill.plans.catalogue import QUERIES
 
 TERMS = ["犬", "黒い犬", "蛇", "snake", "black snake", "アパート", "お金", "海で泳ぐ", "古い家", "the", "古い家の犬", "ab", "水水", "へび", "階段を登る"]
 TEXTS = ["黒い犬が海で泳いでいた。", "A black snake, and the dog!", "アパートの階段を登る夢", "いぬとヘビ", "", None, "!!", "浴びるいぬ", "snakes", "古い家に古い犬", "水水水と金"]
@@ -103,3 +104,11 @@ def test_history(spark):
     assert len(kept) == 120 and {r.id for r in kept if r.owner == 0} == set(range(80, 200, 2))
     assert history.delete(e, "id", [1, 2]).count() == 198 and history.clear(e).count() == 0
     assert history.latest(e.where(F.lit(False)), "owner", "ts", "id").count() == 0
+
+
+def test_all_texts_are_read_whatever_their_label(spark, tmp_path):
+    rows = [(1, "ja", "石橋を渡る"), (2, "ja-JP", "石橋を渡る"), (3, "jpn", "石橋を渡る"), (4, None, "石橋を渡る"), (5, "en", "An old bridge"), (6, "ja", None)]
+    spark.createDataFrame(rows, "ord bigint, language string, meaning string").write.parquet(str(tmp_path / "raw_entries.parquet"))
+    spark.createDataFrame([(1, "en", "old bridge", "石橋、古い橋")], "line_no bigint, lang string, text string, v string").write.parquet(str(tmp_path / "translation_cache.parquet"))
+    assert sorted(r.ord for r in QUERIES["pair_insight"](spark, str(tmp_path)).collect()) == [1, 2, 3, 4, 5]
+    assert sorted((r.ord, r.row_no) for r in QUERIES["match_candidates"](spark, str(tmp_path)).collect()) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1)]
