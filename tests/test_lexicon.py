@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossmill.operators import merge, senses, translate
+from glossmill.plans.catalogue import QUERIES
 from glossmill.sources import parsers, readers
 
 ENTRY = "ord bigint, term string, language string, meaning string, aliases array<string>, source struct<name:string,author:string,url:string,license_note:string>, extra int"
@@ -203,3 +204,10 @@ def test_items_and_todo(spark):
     assert sorted((r.text, r.entry_id, r.slot) for r in items.collect()) == [("A friend.", 1, 2), ("Dog", 1, 0)]
     cache = spark.createDataFrame([("en", "Dog", None, 1)], "lang string, text string, v string, line_no bigint")
     assert [r.text for r in translate.translation_todo(items, cache).collect()] == ["A friend."]
+
+
+def test_every_cache_line_is_looked_up(spark, tmp_path):
+    rows = [(1, "en", "dog", "x"), (2, "en", "dog", "y"), (3, "tr", "dog", None), (4, None, "dog", "z")]
+    spark.createDataFrame(rows, "line_no bigint, lang string, text string, v string").write.parquet(str(tmp_path / "translation_cache.parquet"))
+    got = {r.line_no: r.told for r in QUERIES["translate_lookup"](spark, str(tmp_path)).collect()}
+    assert got == {1: "y", 2: "y", 3: None, 4: None}
