@@ -62,15 +62,16 @@ def merge_aliases(entries: DataFrame) -> DataFrame:
 
 
 def nest(lexicon: DataFrame, meanings: DataFrame, sources: DataFrame, aliases: DataFrame, most: int = 10_000) -> DataFrame:
-    """Entries with nested lists, for export. Keys with more than ``most`` meanings keep empty lists (``nested`` false):
-    their rows stay in the flat tables, which are the whole result."""
-    small = meanings.join(lexicon.where(F.col("meaning_count") <= most).select("term_normalized"), "term_normalized", "left_semi")
+    """Entries with nested lists, for export. A key with more than ``most`` meanings has a row for each run of ``most`` arrival
+    numbers that holds some, told apart and ordered by ``part``; other keys have part 0 alone. Sources and aliases stand in part 0."""
+    heads = lexicon.select("term_normalized", "first_ord", (F.col("meaning_count") > most).alias("wide"))
+    run = F.floor(F.col("ord") / most) - F.floor(F.col("first_ord") / most)
+    placed = meanings.join(heads, "term_normalized").withColumn("part", F.when(F.col("wide"), run).otherwise(0).cast("bigint"))
     fields = lambda df, *c: F.transform(F.array_sort(F.collect_list(F.struct("ord", *c))), lambda x: F.struct(*[x[n].alias(n) for n in c]))
-    m = small.groupBy("term_normalized").agg(fields(small, "text", "source_name", "source_url", "license_note").alias("meanings"))
-    s = sources.groupBy("term_normalized").agg(fields(sources, "name", "url", "license_note").alias("sources"))
-    a = aliases.groupBy("term_normalized").agg(F.transform(F.array_sort(F.collect_set(F.struct("sort_key", "alias"))), lambda x: x["alias"]).alias("aliases"))
-    out = lexicon.join(m, "term_normalized", "left").join(s, "term_normalized", "left").join(a, "term_normalized", "left")
-    return out.withColumn("nested", F.col("meanings").isNotNull())
+    m = placed.groupBy("term_normalized", "part").agg(fields(placed, "text", "source_name", "source_url", "license_note").alias("meanings"))
+    s = sources.groupBy("term_normalized").agg(fields(sources, "name", "url", "license_note").alias("sources")).withColumn("part", F.lit(0).cast("bigint"))
+    a = aliases.groupBy("term_normalized").agg(F.transform(F.array_sort(F.collect_set(F.struct("sort_key", "alias"))), lambda x: x["alias"]).alias("aliases")).withColumn("part", F.lit(0).cast("bigint"))
+    return lexicon.join(m, "term_normalized").join(s, ["term_normalized", "part"], "left").join(a, ["term_normalized", "part"], "left")
 
 
 def pages_as_entries(pages: DataFrame, source_name: str, source_url: str, license_note: str, language: str = "tr") -> DataFrame:

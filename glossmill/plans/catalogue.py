@@ -103,7 +103,8 @@ def union_sources(s, d):
 def nested_lexicon(s, d):
     e = _raw(s, d)
     n = merge.nest(merge.merge_lexicon(e), merge.merge_meanings(e), merge.merge_sources(e), merge.merge_aliases(e))
-    return n.select("term_normalized", F.size("meanings").cast("bigint").alias("n_meanings"), F.size("sources").cast("bigint").alias("n_sources"), F.coalesce(F.size("aliases"), F.lit(0)).cast("bigint").alias("n_aliases"))
+    size = lambda c: F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.size(c))), F.lit(0)).cast("bigint").alias(f"n_{c}")
+    return n.groupBy("term_normalized").agg(size("meanings"), size("sources"), size("aliases"))
 
 
 # Sources and parsers

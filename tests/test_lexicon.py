@@ -211,3 +211,20 @@ def test_every_cache_line_is_looked_up(spark, tmp_path):
     spark.createDataFrame(rows, "line_no bigint, lang string, text string, v string").write.parquet(str(tmp_path / "translation_cache.parquet"))
     got = {r.line_no: r.told for r in QUERIES["translate_lookup"](spark, str(tmp_path)).collect()}
     assert got == {1: "y", 2: "y", 3: None, 4: None}
+
+
+def test_nesting_keeps_all_meanings_of_a_wide_key(spark):
+    rows = [(k, "Dog" if k % 2 else f"t{k}", "en", f"m{k // 4}", ["x"], f"s{k % 3}") for k in range(13, 53)] + [(100_000, "t14", "en", "far", [], "s0")]
+    e = entries(spark, rows)
+    parts = merge.nest(merge.merge_lexicon(e), merge.merge_meanings(e), merge.merge_sources(e), merge.merge_aliases(e), most=8).collect()
+    dog = sorted((r for r in parts if r.term_normalized == "dog"), key=lambda r: r.part)
+    assert [m.text for r in dog for m in r.meanings] == [f"m{k}" for k in range(3, 13)]
+    assert len(dog) > 1 and dog[0].part == 0 and all(len(r.meanings) <= 8 for r in dog)
+    assert [s.name for s in dog[0].sources] == ["s1", "s0", "s2"] and dog[0].aliases == ["x"] and all(r.sources is None and r.aliases is None for r in dog[1:])
+    assert [[m.text for m in r.meanings] for r in parts if r.term_normalized == "t14"] == [["m3", "far"]]
+
+
+def test_nested_lexicon_counts_all_meanings(spark, tmp_path):
+    hot = spark.range(10_050).select(F.col("id").alias("ord"), F.lit("dog").alias("term"), F.lit("en").alias("language"), F.concat(F.lit("m"), "id").alias("meaning"), F.array(F.lit("x")).alias("aliases"))
+    hot.withColumn("source", F.struct(F.lit("s").alias("name"), F.lit("u").alias("url"), F.lit(None).cast("string").alias("license_note"))).write.parquet(str(tmp_path / "raw_entries.parquet"))
+    assert [tuple(r) for r in QUERIES["nested_lexicon"](spark, str(tmp_path)).collect()] == [("dog", 10_050, 1, 1)]
