@@ -27,14 +27,16 @@ from glossmill.llm.canonical import form_of
 from glossmill.llm.dedup import fold
 from glossmill.session import checkpointed, spread
 
-GROUPS = 7
+GROUPS = 18
 PER_VECTOR = 3
 #: Numbers of nodes are sent to all tasks up to this many; beyond it they are joined.
 MAX_SENT = 2_000_000
 _SPOTS = GROUPS * 7 * PER_VECTOR
 #: Coordinates that are compared before texts are.
-_COMPARED = _SPOTS // 2
+_COMPARED = 73
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+#: Where an empty coordinate looks for a value, in turn.
+_LOANS = [np.random.default_rng(k).permutation(_SPOTS) for k in range(40)]
 
 
 def normal(text: str) -> str:
@@ -43,7 +45,9 @@ def normal(text: str) -> str:
 
 
 def sketches(texts: list[str]) -> list[bytes]:
-    """One byte a coordinate: the low byte of the smallest hash among the 3-grams that fall to it (0 where none does)."""
+    """One byte a coordinate: the low byte of the smallest hash among the 3-grams that fall to it.
+
+    A coordinate to which none falls borrows from others in a fixed order, else short texts would agree in being empty."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(texts)), lengths)
@@ -57,6 +61,13 @@ def sketches(texts: list[str]) -> list[bytes]:
         h ^= h >> np.uint64(32)
         spot = (h >> np.uint64(40)) % np.uint64(_SPOTS)
         np.minimum.at(out.reshape(-1), owner[:-2][inside] * _SPOTS + spot.astype(np.int64), h & np.uint64(0xFFFFFFFFFF))
+    own, empty = out.copy(), out == np.iinfo(np.uint64).max
+    for loan in _LOANS:
+        if not empty.any():
+            break
+        rows, spots = np.nonzero(empty)
+        out[rows, spots] = own[rows, loan[spots]]
+        empty = out == np.iinfo(np.uint64).max
     out = (out * np.uint64(0x94D049BB133111EB)) >> np.uint64(56)
     return [row.tobytes() for row in out.astype(np.uint8)]
 
@@ -94,7 +105,7 @@ def _bucket_keys(sketch: Column, kind: Column) -> Column:
         for v in range(1, 8):
             kept = [m for m in range(1, 8) if (m & v).bit_count() % 2]
             spots = [F.substring(sketch, (g * 7 + m - 1) * PER_VECTOR + 1, PER_VECTOR) for m in kept]
-            keys.append(F.xxhash64(F.lit(g * 8 + v), kind, *spots))
+            keys.append(F.shiftrightunsigned(F.xxhash64(F.lit(g * 8 + v), kind, *spots), 24))  # 40 bits: short rows to move, few chance meetings
     return F.array(*keys)
 
 
@@ -126,7 +137,8 @@ def alike_nodes(texts: DataFrame, least: float = 0.75, min_chars: int = 300) ->
     forms = prints.groupBy("f1", "f2", "w").agg(F.min("node").alias("form"), F.count(F.lit(1)).alias("n"))
     forms = checkpointed(forms)
     sketched = spread(long).select("node", "text").mapInPandas(_sketch_batches, "node bigint, sketch binary")
-    nodes = checkpointed(sketched.join(forms.groupBy("f1", "f2").agg(F.min("form").alias("node")).select("node"), "node", "left_semi"))
+    firsts = checkpointed(forms.groupBy("f1", "f2").agg(F.min("form").alias("node")).select("node"))
+    nodes = checkpointed(sketched.join(F.broadcast(firsts) if firsts.count() <= MAX_SENT else firsts, "node", "left_semi"))
     # The callers' node numbers end in their kind, so that keys are made within a kind.
     keyed = nodes.select("node", F.explode(_bucket_keys(F.col("sketch"), F.col("node") % 2)).alias("key"))
     x, y = keyed.alias("x"), keyed.alias("y")

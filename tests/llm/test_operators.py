@@ -204,6 +204,21 @@ def test_near_duplicates_against_all_pairs(spark):
     assert neardup.alike_pairs(empty).count() == 0 and neardup.groups(empty).count() == 0
 
 
+def test_near_duplicates_near_the_limit(spark):
+    rng = random.Random(8)
+    rows, band = [], set()
+    for k in range(400):
+        a = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=900))
+        spots = rng.sample(range(5, 895, 5), rng.randint(34, 46))
+        b = "".join(rng.choice("0123456789") if i in spots else c for i, c in enumerate(a))
+        rows += [(4 * k, 0, a), (4 * k + 2, 0, b)]
+        if 0.75 <= neardup.likeness(a, b) < 0.80:
+            band.add((4 * k, 4 * k + 2))
+    got = {(r.a, r.b) for r in neardup.alike_pairs(spark.createDataFrame(rows, "node bigint, kind int, text string")).collect()}
+    print(f"{len(got & band)} of {len(band)}")
+    assert len(band) > 200 and len(got & band) >= 0.95 * len(band)
+
+
 # Problem 6
 
 
