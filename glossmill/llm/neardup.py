@@ -10,8 +10,9 @@ orthogonal v, so two sketches that differ in at most two coordinates of any grou
 more differences are caught whenever they fall into the nine of one mask. Pairs found this way whose sketches agree far
 less than those of texts at the limit are dropped; the others are verified exactly.
 
-Texts that differ only in case, white space or punctuation form one node before the search, so that a hot group of copies
-never meets itself in a bucket. Buckets have no size cap.
+Texts that differ only in case, white space or punctuation form one fold, whose written forms (white space and case
+aside) are all sketched and enter the buckets under the fold's number, so that a hot group of copies never meets itself
+in a bucket and no form depends on another to be found. Buckets have no size cap.
 """
 
 from __future__ import annotations
@@ -137,24 +138,20 @@ def alike_nodes(texts: DataFrame, least: float = 0.75, min_chars: int = 300) ->
     forms = prints.groupBy("f1", "f2", "w").agg(F.min("node").alias("form"), F.count(F.lit(1)).alias("n"))
     forms = checkpointed(forms)
     sketched = spread(long).select("node", "text").mapInPandas(_sketch_batches, "node bigint, sketch binary")
-    firsts = checkpointed(forms.groupBy("f1", "f2").agg(F.min("form").alias("node")).select("node"))
-    nodes = checkpointed(sketched.join(F.broadcast(firsts) if firsts.count() <= MAX_SENT else firsts, "node", "left_semi"))
+    fold_of = forms.groupBy("f1", "f2").agg(F.min("form").alias("fold"), (F.count(F.lit(1)) > 1).alias("several"))
+    form_list = checkpointed(forms.join(fold_of, ["f1", "f2"]).select(F.col("form").alias("node"), "fold", "several"))
+    nodes = checkpointed(sketched.join(F.broadcast(form_list) if form_list.count() <= MAX_SENT else form_list, "node"))
+    # Every written form has its keys, under the number of its fold: forms of one fold never meet, and count once in a bucket.
     # The callers' node numbers end in their kind, so that keys are made within a kind.
-    keyed = nodes.select("node", F.explode(_bucket_keys(F.col("sketch"), F.col("node") % 2)).alias("key"))
+    each = lambda df: df.select(F.col("fold").alias("node"), F.explode(_bucket_keys(F.col("sketch"), F.col("fold") % 2)).alias("key"))
+    keyed = each(nodes.where("not several")).unionAll(each(nodes.where("several")).distinct())
     x, y = keyed.alias("x"), keyed.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    part = nodes.select("node", F.substring("sketch", 1, _COMPARED).alias("s"))
-    told = met.join(part.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(part.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    met = checkpointed(told.select("a", "b", "sa", "sb").mapInPandas(_resembling(least), "a bigint, b bigint"))
-    # From nodes (one a fold) to the written forms within them.
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("fa"), F.col("y.node").alias("fb")).distinct()
+    # From folds to the written forms within them.
+    part = nodes.select("fold", "node", F.substring("sketch", 1, _COMPARED).alias("s"))
+    told = met.join(part.select(F.col("fold").alias("fa"), F.col("node").alias("a"), F.col("s").alias("sa")), "fa").join(part.select(F.col("fold").alias("fb"), F.col("node").alias("b"), F.col("s").alias("sb")), "fb")
+    pairs = checkpointed(told.select("a", "b", "sa", "sb").mapInPandas(_resembling(least), "a bigint, b bigint"))
     rep = prints.join(forms.select("f1", "f2", "w", "form"), ["f1", "f2", "w"])
-    fold_of = forms.groupBy("f1", "f2").agg(F.min("form").alias("fold_node"))
-    form_list = forms.join(fold_of, ["f1", "f2"]).select("form", "fold_node")
-    pairs = (
-        met.join(form_list.select(F.col("form").alias("fa"), F.col("fold_node").alias("a")), "a")
-        .join(form_list.select(F.col("form").alias("fb"), F.col("fold_node").alias("b")), "b")
-        .select(F.col("fa").alias("a"), F.col("fb").alias("b"))
-    )
     wanted = checkpointed(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
     # The texts are by far the widest rows: up to a checked number of wanted nodes they are picked where they lie.
     picked = F.broadcast(wanted) if wanted.count() <= MAX_SENT else wanted

@@ -219,6 +219,18 @@ def test_near_duplicates_near_the_limit(spark):
     assert len(band) > 200 and len(got & band) >= 0.95 * len(band)
 
 
+def test_near_duplicates_of_any_written_form(spark):
+    rng = random.Random(9)
+    rows, want = [], set()
+    for k in range(20):
+        plain = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=600))
+        dotted = ".".join(plain[i : i + 2] for i in range(0, 600, 2))
+        rows += [(8 * k, 0, dotted), (8 * k + 2, 0, plain), (8 * k + 4, 0, plain[:300] + "0123" + plain[304:])]
+        want.add((8 * k + 2, 8 * k + 4))
+    got = {(r.a, r.b) for r in neardup.alike_pairs(spark.createDataFrame(rows, "node bigint, kind int, text string")).collect()}
+    assert got == want
+
+
 # Problem 6
 
 
