@@ -149,7 +149,7 @@ def train(entries: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, text: str
         return fit({})
     chosen = F.xxhash64("t").bitwiseAND(F.lit(0xFFFFFF)) / float(0x1000000)
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(per_language / n))])[F.col("lang")]
-    sample = rows.where(F.col("lang").isNotNull() & F.col("t").isNotNull() & (chosen < share)).select("lang", F.substring("t", 1, 4000).alias("t")).limit(2 * per_language * len(sizes)).collect()
+    sample = rows.where(F.col("lang").isNotNull() & F.col("t").isNotNull() & (chosen < share)).select("lang", "t").limit(2 * per_language * len(sizes)).collect()
     by: dict[str, list[str]] = {}
     for r in sample:
         by.setdefault(r[0], []).append(r[1])

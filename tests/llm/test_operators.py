@@ -63,6 +63,15 @@ def test_languages_on_edges(spark):
     assert langid.train(df.limit(0)).shape == w.shape
 
 
+def test_whole_texts_are_learned(spark, monkeypatch):
+    learned = []
+    real = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda by: learned.append(by) or real(by))
+    text = "The old bridge was closed. " * 200
+    langid.train(spark.createDataFrame([("en", text)], "language string, meaning string"))
+    assert len(text) > 4000 and learned[0] == {"en": [text]}
+
+
 # Problem 2
 
 
