@@ -2,42 +2,56 @@
 
 Likeness is the Jaccard index of the sets of 3-character substrings of the lower-cased text with blanks collapsed.
 
-Every text gets a sketch of ``GROUPS`` x 21 coordinates by one-permutation min-hashing (two texts agree in a coordinate
-with a probability equal to their likeness). The 21 coordinates of a group carry the 7 non-zero vectors of GF(2)^3, three
-each. Each of the 7 non-zero vectors v is a mask that keeps the coordinates whose vector has an odd product with v (12 of
-21) and drops the other 9; a kept selection is hashed to one bucket key. Any two differing vectors have a common
-orthogonal v, so two sketches that differ in at most two coordinates of any group are guaranteed to share a bucket;
-more differences are caught whenever they fall into the nine of one mask. Pairs found this way whose sketches agree far
-less than those of texts at the limit are dropped; the others are verified exactly.
-
-Texts that differ only in case, white space or punctuation form one fold, whose written forms (white space and case
-aside) are all sketched and enter the buckets under the fold's number, so that a hot group of copies never meets itself
-in a bucket and no form depends on another to be found. Buckets have no size cap.
+Every text gets a sketch of ``GROUPS`` x 14 coordinates by one-permutation min-hashing (two texts agree in a coordinate
+with a probability equal to their likeness). The 14 coordinates of a group carry the 7 non-zero vectors of GF(2)^3, two
+each. Each of the 7 non-zero vectors v is a mask that keeps the coordinates whose vector has an odd product with v (8 of
+14) and drops the other 6; a kept selection is hashed to one bucket key. Any two differing vectors have a common
+orthogonal v, so two sketches that differ in at most two coordinates of any group are guaranteed to share a bucket. Hence
+any that differ in at most 3 x GROUPS - 1 coordinates in all (17 of 84) do, wherever these lie; more differences are caught
+whenever they fall into the six of one mask.
+
+Bucket rows carry 128 further min-hash bits, by which pairs that meet are compared in the join; those that agree three
+standard deviations less than texts at the limit do are dropped, the others are verified exactly. A bucket that a sample
+shows to be hot is split into blocks that meet pair by pair, so that no task holds it whole; buckets have no size cap.
+
+Texts that differ only in case, white space or punctuation form one fold; links are made between written forms (white
+space and case aside) of different folds, each named by its smallest node, so that copies are never expanded into pairs.
 """
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.llm.canonical import form_of
-from glossmill.llm.dedup import fold
 from glossmill.session import checkpointed, spread
 
-GROUPS = 18
-PER_VECTOR = 3
+GROUPS = 6
+VECTORS = 7
+PER_VECTOR = 2
+_SPOTS = GROUPS * VECTORS * PER_VECTOR
+#: Further coordinates of one bit each.
+_BITS = 128
 #: Numbers of nodes are sent to all tasks up to this many; beyond it they are joined.
 MAX_SENT = 2_000_000
-_SPOTS = GROUPS * 7 * PER_VECTOR
-#: Coordinates that are compared before texts are.
-_COMPARED = 73
+#: A bucket with at least HOT of the sketches that fall into one of SAMPLED classes is split; a block has about HOT * SAMPLED sketches.
+SAMPLED = 64
+HOT = 64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 #: Where an empty coordinate looks for a value, in turn.
-_LOANS = [np.random.default_rng(k).permutation(_SPOTS) for k in range(40)]
+_LOANS = {n: [np.random.default_rng(k).permutation(n) for k in range(40)] for n in (_SPOTS, _BITS)}
+_LONGS = [f"g{k}" for k in range(2 * GROUPS)]
+# ASCII symbols that count as punctuation though Unicode calls them symbols.
+_ASCII_SYMBOLS = "$+<=>^`|~"
+_dropped: list[re.Pattern] = []
 
 
 def normal(text: str) -> str:
@@ -45,32 +59,51 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def sketches(texts: list[str]) -> list[bytes]:
-    """One byte a coordinate: the low byte of the smallest hash among the 3-grams that fall to it.
-
-    A coordinate to which none falls borrows from others in a fixed order, else short texts would agree in being empty."""
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    out = np.full((len(texts), _SPOTS), np.iinfo(np.uint64).max, np.uint64)
-    if len(codes) > 2:
-        h = codes[:-2] * _MULTIPLIERS[0] + codes[1:-1] * _MULTIPLIERS[1] + codes[2:] * _MULTIPLIERS[2]
-        inside = owner[:-2] == owner[2:]
-        h = h[inside]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        spot = (h >> np.uint64(40)) % np.uint64(_SPOTS)
-        np.minimum.at(out.reshape(-1), owner[:-2][inside] * _SPOTS + spot.astype(np.int64), h & np.uint64(0xFFFFFFFFFF))
-    own, empty = out.copy(), out == np.iinfo(np.uint64).max
-    for loan in _LOANS:
+def folded(text: str) -> str:
+    """Case, white space and punctuation disregarded."""
+    if not _dropped:
+        # Two steps: a set within the basic plane compiles to a bitmap.
+        chars = [c for c in map(chr, range(sys.maxunicode + 1)) if c in _ASCII_SYMBOLS or c.isspace() or unicodedata.category(c)[0] in "PZ"]
+        _dropped.extend(re.compile("[" + "".join(re.escape(c) for c in part) + "]+") for part in ([c for c in chars if c < "\U00010000"], [c for c in chars if c >= "\U00010000"]))
+        _dropped.append(re.compile("[\U00010000-\U0010ffff]"))
+    kept = _dropped[0].sub("", text.upper())
+    return (_dropped[1].sub("", kept) if _dropped[2].search(kept) else kept).lower().replace("i̇", "i")
+
+
+def _smallest(owner: np.ndarray, h: np.ndarray, n: int, spots: int) -> np.ndarray:
+    """The smallest hash of each of ``n`` owners in each spot. A spot to which none falls borrows from others in a fixed order,
+    else short texts would agree in being empty."""
+    none = np.iinfo(np.uint64).max
+    out = np.full(n * spots, none, np.uint64)
+    np.minimum.at(out, owner * spots + ((h >> np.uint64(40)) % np.uint64(spots)).astype(np.int64), h & np.uint64(0xFFFFFFFFFF))
+    out = out.reshape(n, spots)
+    own, empty = out.copy(), out == none
+    for loan in _LOANS[spots]:
         if not empty.any():
             break
-        rows, spots = np.nonzero(empty)
-        out[rows, spots] = own[rows, loan[spots]]
-        empty = out == np.iinfo(np.uint64).max
-    out = (out * np.uint64(0x94D049BB133111EB)) >> np.uint64(56)
-    return [row.tobytes() for row in out.astype(np.uint8)]
+        rows, at = np.nonzero(empty)
+        out[rows, at] = own[rows, loan[at]]
+        empty = out == none
+    return out * np.uint64(0x94D049BB133111EB)
+
+
+def sketches(texts: list[str]) -> np.ndarray:
+    """A row of longs a text: two for the one-byte coordinates of each group, then two of single bits."""
+    n, lengths = len(texts), np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(n), lengths)
+    h = codes[:-2] * _MULTIPLIERS[0] + codes[1:-1] * _MULTIPLIERS[1] + codes[2:] * _MULTIPLIERS[2]
+    inside = owner[:-2] == owner[2:]
+    h, owner = h[inside], owner[:-2][inside]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    low = (_smallest(owner, h, n, _SPOTS) >> np.uint64(56)).astype(np.uint8).reshape(n, GROUPS * PER_VECTOR, VECTORS)
+    packed = np.concatenate([low, np.zeros((n, GROUPS * PER_VECTOR, 1), np.uint8)], axis=2)
+    h *= _MULTIPLIERS[1]
+    h ^= h >> np.uint64(31)
+    bits = np.packbits((_smallest(owner, h, n, _BITS) >> np.uint64(63)).astype(np.uint8), axis=1)
+    return np.concatenate([packed.reshape(n, -1), bits], axis=1).view(np.int64)
 
 
 def likeness(a: str, b: str) -> float:
@@ -81,35 +114,47 @@ def likeness(a: str, b: str) -> float:
 
 def _sketch_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for k in range(0, len(pdf), 2000):
-            part = pdf.iloc[k : k + 2000]
-            yield pd.DataFrame({"node": part["node"], "sketch": sketches([normal(t) for t in part["text"]])})
-
-
-def _resembling(least: float):
-    """Pairs whose sketches agree nearly as often as those of texts at the limit do (3.5 standard deviations below)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        floor = least - 3.5 * (least * (1 - least) / _COMPARED) ** 0.5
-        for pdf in batches:
-            if len(pdf):
-                x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(len(pdf), _COMPARED) for c in ("sa", "sb"))
-                yield pdf.loc[(x == y).mean(1) >= floor, ["a", "b"]]
-
-    return run
-
-
-def _bucket_keys(sketch: Column, kind: Column) -> Column:
+        for k in range(0, len(pdf), 1000):
+            part = pdf.iloc[k : k + 1000]
+            plain = [normal(t) for t in part["text"]]
+            bare = np.frombuffer(b"".join(xxhash.xxh3_128_digest(folded(t).encode("utf-8", "surrogatepass")) for t in part["text"]), np.int64).reshape(-1, 2)
+            written = np.frombuffer(b"".join(xxhash.xxh3_64_digest(t.encode("utf-8", "surrogatepass")) for t in plain), np.int64)
+            out = pd.DataFrame(sketches(plain), columns=[*_LONGS, "s1", "s2"])
+            out.insert(0, "node", part["node"].to_numpy())
+            out.insert(1, "kind", part["kind"].to_numpy())
+            yield out.assign(f1=bare[:, 0], f2=bare[:, 1], w=written)
+
+
+def _bucket_keys() -> Column:
     """The 7 x GROUPS bucket keys of a sketch."""
     keys = []
     for g in range(GROUPS):
-        for v in range(1, 8):
-            kept = [m for m in range(1, 8) if (m & v).bit_count() % 2]
-            spots = [F.substring(sketch, (g * 7 + m - 1) * PER_VECTOR + 1, PER_VECTOR) for m in kept]
-            keys.append(F.shiftrightunsigned(F.xxhash64(F.lit(g * 8 + v), kind, *spots), 24))  # 40 bits: short rows to move, few chance meetings
+        for v in range(1, VECTORS + 1):
+            kept = sum(0xFF << 8 * (m - 1) for m in range(1, VECTORS + 1) if (m & v).bit_count() % 2)
+            parts = [F.col(_LONGS[PER_VECTOR * g + j]).bitwiseAND(F.lit(kept)) for j in range(PER_VECTOR)]
+            keys.append(F.shiftrightunsigned(F.xxhash64(F.lit(g * 8 + v), "kind", *parts), 20))  # 44 bits: short rows to move, few chance meetings
     return F.array(*keys)
 
 
+def _meetings(sketched: DataFrame, least: float) -> DataFrame:
+    """(``a1, a2, b1, b2``): the single bits of different sketches of one kind that share a bucket and resemble each other."""
+    each = lambda df: df.select("s1", "s2", F.explode(_bucket_keys()).alias("key"))
+    keyed = each(sketched)
+    sample = sketched.where(F.pmod(F.xxhash64("s1", "s2"), F.lit(SAMPLED)) == 0)
+    hot = checkpointed(each(sample).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT).select("key", (F.ceil(F.col("n") / HOT) + 1).cast("int").alias("blocks")))
+    if n_hot := hot.count():
+        own = F.pmod(F.xxhash64("s2", "s1"), F.col("blocks")).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.xxhash64("key", F.least(t, own), F.greatest(t, own)))
+        place = F.when(F.col("blocks").isNull(), F.array("key")).otherwise(pairs)
+        keyed = keyed.join(F.broadcast(hot) if n_hot <= MAX_SENT else hot, "key", "left").select("s1", "s2", F.explode(place).alias("key"))
+    agree = (1 + least) / 2
+    floor = _BITS * agree - 3 * (_BITS * agree * (1 - agree)) ** 0.5
+    differ = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
+    once = (F.col("x.s1") < F.col("y.s1")) | ((F.col("x.s1") == F.col("y.s1")) & (F.col("x.s2") < F.col("y.s2")))
+    met = keyed.alias("x").join(keyed.alias("y"), (F.col("x.key") == F.col("y.key")) & once & (differ <= int(_BITS - floor)))
+    return met.select(F.col("x.s1").alias("a1"), F.col("x.s2").alias("a2"), F.col("y.s1").alias("b1"), F.col("y.s2").alias("b2")).distinct()
+
+
 def _verified(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -123,42 +168,30 @@ def _verified(least: float):
 def alike_nodes(texts: DataFrame, least: float = 0.75, min_chars: int = 300) -> tuple[DataFrame, DataFrame]:
     """Pairs and members of alike texts.
 
-    ``texts`` has ``node`` (bigint, unique, odd or even as its kind), ``kind`` (0 or 1; only texts of one kind are compared)
-    and ``text``. Null texts
+    ``texts`` has ``node`` (bigint, unique), ``kind`` (int; only texts of one kind are compared) and ``text``. Null texts
     and texts under ``min_chars`` characters take no part; an empty table gives empty results.
 
     Returns ``links`` (``a``, ``b``, ``likeness``) between the smallest nodes of different written forms, and ``members``
     (``node``, ``form``): each text's written form, named by its smallest node. Copies are never expanded into pairs here.
     """
-    long = texts.where(F.length("text") >= min_chars).select("node", "kind", "text")
-    written = F.trim(F.regexp_replace(F.lower("text"), r"(?U)\s+", " "))
-    bare = fold(F.col("text"))
-    prints = long.select("node", "kind", F.xxhash64("kind", bare).alias("f1"), F.xxhash64(F.lit(1), bare).alias("f2"), F.xxhash64(written).alias("w"))
-    prints = checkpointed(prints)
-    forms = prints.groupBy("f1", "f2", "w").agg(F.min("node").alias("form"), F.count(F.lit(1)).alias("n"))
-    forms = checkpointed(forms)
-    sketched = spread(long).select("node", "text").mapInPandas(_sketch_batches, "node bigint, sketch binary")
-    fold_of = forms.groupBy("f1", "f2").agg(F.min("form").alias("fold"), (F.count(F.lit(1)) > 1).alias("several"))
-    form_list = checkpointed(forms.join(fold_of, ["f1", "f2"]).select(F.col("form").alias("node"), "fold", "several"))
-    nodes = checkpointed(sketched.join(F.broadcast(form_list) if form_list.count() <= MAX_SENT else form_list, "node"))
-    # Every written form has its keys, under the number of its fold: forms of one fold never meet, and count once in a bucket.
-    # The callers' node numbers end in their kind, so that keys are made within a kind.
-    each = lambda df: df.select(F.col("fold").alias("node"), F.explode(_bucket_keys(F.col("sketch"), F.col("fold") % 2)).alias("key"))
-    keyed = each(nodes.where("not several")).unionAll(each(nodes.where("several")).distinct())
-    x, y = keyed.alias("x"), keyed.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("fa"), F.col("y.node").alias("fb")).distinct()
-    # From folds to the written forms within them.
-    part = nodes.select("fold", "node", F.substring("sketch", 1, _COMPARED).alias("s"))
-    told = met.join(part.select(F.col("fold").alias("fa"), F.col("node").alias("a"), F.col("s").alias("sa")), "fa").join(part.select(F.col("fold").alias("fb"), F.col("node").alias("b"), F.col("s").alias("sb")), "fb")
-    pairs = checkpointed(told.select("a", "b", "sa", "sb").mapInPandas(_resembling(least), "a bigint, b bigint"))
-    rep = prints.join(forms.select("f1", "f2", "w", "form"), ["f1", "f2", "w"])
-    wanted = checkpointed(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+    long = texts.where(F.length("text") >= min_chars).select("node", F.col("kind").cast("int").alias("kind"), "text")
+    types = ", ".join(f"{c} bigint" for c in (*_LONGS, "s1", "s2", "f1", "f2", "w"))
+    prints = checkpointed(spread(long).mapInPandas(_sketch_batches, f"node bigint, kind int, {types}"))
+    forms = checkpointed(prints.groupBy("kind", "f1", "f2", "w").agg(F.min("node").alias("form"), F.first("s1").alias("s1"), F.first("s2").alias("s2")))
+    met = _meetings(prints.select("kind", *_LONGS, "s1", "s2").distinct(), least)
+    # Written forms of one sketch resemble each other as well.
+    same = forms.groupBy("kind", "s1", "s2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = checkpointed(met.unionByName(same.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("s1").alias("b1"), F.col("s2").alias("b2")).distinct()))
+    end = lambda x: forms.select("kind", *[F.col(c).alias(f"{x}{c[1:]}") for c in ("s1", "s2")], F.col("form").alias(x), F.col("f1").alias(f"{x}f1"), F.col("f2").alias(f"{x}f2"))
+    told = met.join(end("a"), ["a1", "a2"]).join(end("b"), ["kind", "b1", "b2"]).where("af1 <> bf1 or af2 <> bf2")
+    pairs = checkpointed(told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     # The texts are by far the widest rows: up to a checked number of wanted nodes they are picked where they lie.
     picked = F.broadcast(wanted) if wanted.count() <= MAX_SENT else wanted
-    needed = checkpointed(long.join(picked, "node", "left_semi").select("node", "text"))
+    needed = long.join(picked, "node", "left_semi").select("node", "text")
     told = pairs.join(needed.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(needed.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     links = told.select("a", "b", "ta", "tb").mapInPandas(_verified(least), "a bigint, b bigint, likeness double")
-    return links, rep.select("node", "form")
+    return links, prints.select("node", "kind", "f1", "f2", "w").join(forms.select("kind", "f1", "f2", "w", "form"), ["kind", "f1", "f2", "w"]).select("node", "form")
 
 
 def alike_pairs(texts: DataFrame, least: float = 0.75, min_chars: int = 300) -> DataFrame:
