@@ -1,13 +1,14 @@
 """Problem 2: lines that one source repeats in many of its texts.
 
-The letters of a text (case, blanks, punctuation and digits left out) are cut where a rolling hash over four letters is
-smaller than at the two places before and after it, so that cuts depend on content alone and a repeated line is cut the same
-way wherever it stands. A chunk counts with the letters that decide its two cuts. Distinct texts are counted per source and
-chunk, summed within a batch before any shuffle. A line can only be repeated to excess if each of its whole chunks is;
-lines that pass (or hold no whole chunk, whose own hash then counts as the chunk) are counted exactly.
-
-To keep the shuffle small only chunks whose hash falls into one of four classes are counted. That loses no line: the
-condition holds for any choice of a line's chunks.
+The letters of a whole text (case, blanks, punctuation and digits left out) are cut by content: where a rolling hash over
+four letters is smaller than at the ``REACH`` places before and after it. A line break hashes lowest of all, so it always
+cuts, and with it the same line is cut the same way wherever it stands. A chunk counts together with the chunks beside it,
+up to the line breaks, and with whether they reach those. Distinct texts are counted per source and chunk, for every chunk,
+summed within a batch before any shuffle. Chunks that a source repeats to excess are cut out; a line goes if all of its
+chunks do.
+
+A line repeated to excess has only such chunks. The other way round: a line of up to three chunks is a chunk with its
+neighbours, so its count is the chunk's; of a longer line every run of three chunks is repeated to excess by itself.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from glossmill.session import checkpointed, spread
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: A cut is the least of so many places on either side; chunks have about twice as many letters.
+REACH = 16
+_SLICE = 2000
 #: Excessive chunks are sent to the tasks up to this number; beyond it they are joined.
 MAX_SENT = 2_000_000
 
@@ -39,59 +43,66 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _least_around(h: np.ndarray, reach: int) -> np.ndarray:
+    """The least of the ``reach`` values before and after each (itself left out)."""
+    far = np.full(reach, np.iinfo(np.uint64).max, np.uint64)
+    run, width = np.concatenate([far, h, far]), 1
+    while width < reach:  # run[i]: the least of width values from i on
+        step = min(width, reach - width)
+        run = np.minimum(run[:-step], run[step:])
+        width += step
+    return np.minimum(run[: len(h)], run[reach + 1 : reach + 1 + len(h)])
+
+
 def chunk_keys(texts: list[str]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-    """The non-blank lines of the texts (``doc``, ``line_no``), and for each counted chunk its line's row and its hash."""
-    docs, numbers, lengths, kept = [], [], [], []
-    for d, text in enumerate(texts):
-        for n, line in enumerate(text.split("\n"), 1):
-            if line:
-                docs.append(d)
-                numbers.append(n)
-                lengths.append(len(line))
-                kept.append(line)
-    lines = pd.DataFrame({"doc": np.array(docs, np.int64), "line_no": np.array(numbers, np.int32), "line": kept})
-    if not docs:
-        return lines, np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    codes = np.frombuffer("".join(kept).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    """The non-blank lines of the texts (``doc``, ``line_no``), and for each chunk its line's row and its hash."""
+    codes = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(codes)
-    size = np.array(lengths, np.int64)
-    begin = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(size)), size)
+    breaks = np.flatnonzero(codes == 10)
+    begin = np.concatenate([[0], breaks[:-1] + 1]) if len(breaks) else breaks
+    doc_end = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))) - 1
+    doc = np.searchsorted(doc_end, breaks)
+    first_line = np.searchsorted(doc, doc)
+    full = breaks > begin
+    lines = pd.DataFrame({"doc": doc[full], "line_no": (np.arange(len(breaks)) - first_line + 1)[full].astype(np.int32)})
+    if not len(lines):
+        return lines, np.zeros(0, np.int64), np.zeros(0, np.uint64)
     c = _mixed(codes + np.uint64(0x1234567))
-    cuts = np.zeros(0, np.int64)
-    if n >= 12:
-        h = _mixed(c[:-3] + c[1:-2] * _BASE + c[2:-1] * _BASE * _BASE + c[3:] * _BASE * _BASE * _BASE)
-        mid = h[2:-2]
-        low = (mid < h[:-4]) & (mid < h[1:-3]) & (mid < h[3:-1]) & (mid < h[4:])
-        cuts = np.flatnonzero(low) + 2
-        line = owner[cuts]
-        cuts = cuts[(cuts - 2 >= begin[line]) & (cuts + 6 <= begin[line] + size[line])]
+    h = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    if n > 3:
+        whole = np.ones(n - 3, bool)
+        for j in range(4):
+            whole &= codes[j : n - 3 + j] != 10
+        h[:-3][whole] = _mixed(c[:-3] + c[1:-2] * _BASE + c[2:-1] * _BASE * _BASE + c[3:] * _BASE * _BASE * _BASE)[whole]
+    h[breaks] = 0
+    cut = h < _least_around(h, REACH)
+    cut[breaks] = False
+    begin, end = begin[full], breaks[full]
+    at = np.sort(np.concatenate([np.flatnonzero(cut), begin]))
+    row = np.searchsorted(begin, at, "right") - 1
+    # Of each chunk: where the chunk before it begins and the one after it ends, within the line.
+    k = np.arange(len(at))
+    first, last = np.searchsorted(row, row), np.searchsorted(row, row, "right") - 1
+    a = at[np.maximum(k - 1, first)]
+    b = np.where(k + 2 <= last, at[np.minimum(k + 2, len(at) - 1)], end[row])
     powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(c * powers[:-1])])
     inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]))
+    edges = (a == begin[row]).astype(np.uint64) * np.uint64(2) + (b == end[row]).astype(np.uint64)
+    return lines, row, _mixed((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(4) + edges)
 
-    def content(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return _mixed((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
 
-    a, b = cuts[:-1], cuts[1:]
-    same = owner[a] == owner[b] if len(cuts) else np.zeros(0, bool)
-    a, b = a[same], b[same]
-    key = content(a - 2, b + 6)
-    counted = key % np.uint64(4) == 0
-    rows, key = owner[a][counted], key[counted]
-    bare = np.ones(len(size), bool)
-    bare[rows] = False
-    alone = np.flatnonzero(bare)
-    whole = content(begin[alone], begin[alone] + size[alone]) ^ np.uint64(0x5555555555555555)
-    return lines, np.concatenate([rows, alone]), np.concatenate([key, whole])
+def _sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for k in range(0, len(pdf), _SLICE):
+            yield pdf.iloc[k : k + _SLICE]
 
 
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in _sliced(batches):
         lines, rows, keys = chunk_keys(list(pdf["letters"]))
         doc = lines["doc"].to_numpy()[rows]
-        source = pdf["s"].to_numpy()[doc] if len(doc) else np.zeros(0, np.int64)
-        once = pd.DataFrame({"doc": doc, "s": source, "key": keys.view(np.int64)}).drop_duplicates()
+        once = pd.DataFrame({"doc": doc, "s": pdf["s"].to_numpy()[doc], "key": keys.view(np.int64)}).drop_duplicates()
         yield once.groupby(["s", "key"], sort=False).size().rename("n").reset_index()
 
 
@@ -102,38 +113,33 @@ def site_texts(dream_terms: DataFrame) -> DataFrame:
 
 
 def repeated_lines(texts: DataFrame, least: int = 5, share: float = 0.01) -> DataFrame:
-    """(``meaning_id``, ``line_no``, ``source_name``, ``line``, ``texts``): every occurrence of a line that stands in at least
-    ``least`` and at least ``share`` of all texts of its source; ``line`` is the compared form, ``texts`` how many hold it.
+    """(``meaning_id``, ``line_no``, ``source_name``): every occurrence of a line whose chunks all stand in at least ``least``
+    and at least ``share`` of all texts of its source.
 
     Texts without a source or text have no lines (a null text counts as one of its source's texts); blank lines and lines
-    without letters are no case. A text given twice under one id counts once. Empty tables give an empty result.
+    without letters are no case. A repeated row counts as a text of its own. Empty tables give an empty result.
     """
     spark = texts.sparkSession
-    totals = texts.where("source_name is not null").groupBy(F.xxhash64("source_name").alias("s")).agg(F.count(F.lit(1)).alias("total"))
-    totals = checkpointed(totals)
+    totals = checkpointed(texts.where("source_name is not null").groupBy(F.xxhash64("source_name").alias("s")).agg(F.count(F.lit(1)).alias("total")))
     usable = texts.where("source_name is not null and text is not null")
     ready = spread(usable.select("meaning_id", "source_name", "text")).select("meaning_id", "source_name", F.xxhash64("source_name").alias("s"), letters(F.col("text")).alias("letters"))
     counts = ready.select("s", "letters").mapInPandas(_count_batches, "s bigint, key bigint, n bigint").groupBy("s", "key").agg(F.sum("n").alias("n"))
-    # A text given twice may be counted twice here, which only lets a line through to the exact count.
-    excessive = checkpointed(counts.join(totals, "s").where((F.col("n") >= least) & (F.col("n") >= share * F.col("total"))).select("s", "key"))
-    many = excessive.count()
+    excessive = checkpointed(counts.where(F.col("n") >= least).join(totals, "s").where(F.col("n") >= share * F.col("total")).select("s", "key"))
     sent = None
-    if many <= MAX_SENT:
+    if excessive.count() <= MAX_SENT:
         pairs = excessive.toPandas()
         mixed = np.unique(pairs["key"].to_numpy(np.int64) ^ (pairs["s"].to_numpy(np.int64) * 31))
         sent = spark.sparkContext.broadcast(mixed)
 
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _sliced(batches):
             lines, rows, keys = chunk_keys(list(pdf["letters"]))
-            doc = lines["doc"].to_numpy()
-            source = pdf["s"].to_numpy()[doc] if len(doc) else np.zeros(0, np.int64)
             signed = keys.view(np.int64)
             if sent is None:
-                out = lines.iloc[rows].assign(key=signed, row=rows)
+                out = lines.iloc[rows].assign(key=signed)
             else:
                 with np.errstate(over="ignore"):
-                    probe = signed ^ (source[rows] * 31)
+                    probe = signed ^ (pdf["s"].to_numpy()[lines["doc"].to_numpy()[rows]] * 31)
                 known = sent.value
                 place = np.minimum(np.searchsorted(known, probe), max(len(known) - 1, 0))
                 hit = known[place] == probe if len(known) else np.zeros(len(probe), bool)
@@ -141,16 +147,13 @@ def repeated_lines(texts: DataFrame, least: int = 5, share: float = 0.01) -> Dat
                 good[rows[~hit]] = False
                 out = lines[good].assign(key=0)
             at = out["doc"].to_numpy()
-            yield pd.DataFrame({"meaning_id": pdf["meaning_id"].to_numpy()[at], "source_name": pdf["source_name"].to_numpy()[at], "s": pdf["s"].to_numpy()[at], "line_no": out["line_no"], "line": out["line"], "key": out["key"]})
+            yield pd.DataFrame({"meaning_id": pdf["meaning_id"].to_numpy()[at], "source_name": pdf["source_name"].to_numpy()[at], "s": pdf["s"].to_numpy()[at], "line_no": out["line_no"], "key": out["key"]})
 
-    lines = ready.mapInPandas(candidates, "meaning_id bigint, source_name string, s bigint, line_no int, line string, key bigint")
+    lines = ready.mapInPandas(covered, "meaning_id bigint, source_name string, s bigint, line_no int, key bigint")
     if sent is None:
         judged = lines.join(excessive.withColumn("known", F.lit(1)), ["s", "key"], "left")
-        lines = judged.groupBy("meaning_id", "source_name", "s", "line_no", "line").agg(F.count(F.lit(1)).alias("all"), F.count("known").alias("known")).where("all = known")
-    found = checkpointed(lines.select("meaning_id", "source_name", "s", "line_no", "line").distinct())
-    held = found.select("s", "line", "meaning_id").distinct().groupBy("s", "line").agg(F.count(F.lit(1)).alias("texts"))
-    true = held.join(totals, "s").where((F.col("texts") >= least) & (F.col("texts") >= share * F.col("total"))).select("s", "line", "texts")
-    return found.join(true, ["s", "line"]).select("meaning_id", "line_no", "source_name", "line", "texts")
+        lines = judged.groupBy("meaning_id", "source_name", "line_no").agg(F.count(F.lit(1)).alias("all"), F.count("known").alias("known")).where("all = known")
+    return lines.select("meaning_id", "line_no", "source_name")
 
 
 def without_repeated_lines(texts: DataFrame, least: int = 5, share: float = 0.01) -> DataFrame:
