@@ -2,7 +2,8 @@
 
 Error-correcting output codes: every language has a codeword of 15 bits, any two of which differ in 8. For each bit a binary
 classifier over hashed character n-grams (1 to 3, with word boundaries) gives signed log-odds; a piece of text gets the
-language whose codeword has the least logistic loss against its 15 scores. A small lead over the runner-up is flagged.
+language whose codeword has the least logistic loss against its 15 scores. Confidence is that language's share of exp(-loss),
+so a small lead over the runner-up shows as a low one; under 0.9 (a lead of about 2.2) the result is flagged as ambiguous.
 
 Classifiers are fitted on a bounded sample of labelled rows (``SAMPLE_PER_LANGUAGE``), twice: sentences that the first fit
 contradicts are left out of the second. Scores add up over words, so a task scores each distinct word once.
@@ -55,7 +56,7 @@ def fit(samples: dict[str, list[str]]) -> np.ndarray:
         seen = Counter(w for t in samples.get(lang, ()) for w in words(t))
         for w, n in seen.items():
             for g in _grams(w):
-                counts[k, g] += min(n, 200)
+                counts[k, g] += n
     present = counts.sum(1) > 0
     rate = (counts + 0.02) / (counts.sum(1, keepdims=True) + 0.02 * BUCKETS)
     out = np.zeros((BUCKETS, BITS), np.float32)
@@ -149,7 +150,8 @@ def train(entries: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, text: str
         return fit({})
     chosen = F.xxhash64("t").bitwiseAND(F.lit(0xFFFFFF)) / float(0x1000000)
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(per_language / n))])[F.col("lang")]
-    sample = rows.where(F.col("lang").isNotNull() & F.col("t").isNotNull() & (chosen < share)).select("lang", "t").limit(2 * per_language * len(sizes)).collect()
+    # Copies of one text are chosen together and learned once.
+    sample = rows.where(F.col("lang").isNotNull() & F.col("t").isNotNull() & (chosen < share)).select("lang", "t").distinct().sort("lang", "t").collect()
     by: dict[str, list[str]] = {}
     for r in sample:
         by.setdefault(r[0], []).append(r[1])
