@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glossmill.session import spread
+from glossmill.session import checkpointed, spread
 
 # Letters of other scripts, and the Latin letters that they look like.
 CYRILLIC = "аеорсухѕіјһԁԛԝѵүӏАВЕЅІЈКМНОРСТХҮԌԚԜѴӀ"
@@ -136,13 +136,19 @@ def print_columns(col: str = "text", form: str = "form") -> list[Column]:
 def alike_pairs(prints: DataFrame, id_col: str) -> DataFrame:
     """(``id_a``, ``id_b``), ``id_a`` < ``id_b``: rows with one form whose stored strings differ, from ``print_columns``.
 
-    Only forms with more than one stored string are joined, so a form that a third of the rows share costs one row a
-    partition unless it really has variants; then its pairs are the result itself. Leave null texts out before.
+    Strings are paired first, each once, and rows then join the pairs of their string: a form that a third of the rows share
+    costs as much as its result, also where one of its strings is hot. Leave null texts out before.
     """
     rows = prints.select(F.col(id_col).alias("id"), "f1", "f2", "s1", "s2")
-    several = rows.groupBy("f1", "f2").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.min("s2").alias("lo2"), F.max("s2").alias("hi2")).where("lo <> hi or lo2 <> hi2").select("f1", "f2")
-    few = rows.join(several, ["f1", "f2"])
+    strings = rows.select("f1", "f2", "s1", "s2").distinct()
+    several = strings.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f1", "f2")
+    few = checkpointed(strings.join(several, ["f1", "f2"]))
     a, b = few.alias("a"), few.alias("b")
     same = (F.col("a.f1") == F.col("b.f1")) & (F.col("a.f2") == F.col("b.f2"))
-    differ = (F.col("a.s1") != F.col("b.s1")) | (F.col("a.s2") != F.col("b.s2"))
-    return a.join(b, same & differ & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    once = (F.col("a.s1") < F.col("b.s1")) | ((F.col("a.s1") == F.col("b.s1")) & (F.col("a.s2") < F.col("b.s2")))
+    pairs = a.join(b, same & once).select("a.f1", "a.f2", *[F.col(f"{x}.{c}").alias(f"{x}{c[1]}") for x in ("a", "b") for c in ("s1", "s2")])
+    held = checkpointed(rows.join(several, ["f1", "f2"]).select("id", "s1", "s2"))
+    left = held.select(F.col("id").alias("ia"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
+    right = held.select(F.col("id").alias("ib"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
+    met = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"])
+    return met.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
