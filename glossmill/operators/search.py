@@ -20,15 +20,34 @@ def rank_of(q: Column, fold: Column) -> Column:
     )
 
 
+KEY = 3
+
+
+def _pieces(x: Column) -> Column:
+    """All substrings of one to ``KEY`` characters."""
+
+    def of(n: int) -> Column:
+        all_ = F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda k: F.substring(x, k, F.lit(n)))
+        return F.when(F.length(x) >= n, all_).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.array(*[of(n) for n in range(1, KEY + 1)]))
+
+
 def dict_search(queries: DataFrame, features: DataFrame, most: int = 20) -> DataFrame:
     """``query, row_no, rank, place``: up to ``most`` rows a query, by rank, then shorter term, then lexicon order.
 
-    ``queries`` has ``query``; it is the small, stated set, sent to every task and compared with all rows as they stream by.
-    Queries that fold to nothing have no results. Repeated queries answer once.
+    ``queries`` has ``query``. A row holds a query only if it holds its first ``KEY`` characters, which is the join; hits are
+    then ranked by the whole query. Queries that fold to nothing have no results. Repeated queries answer once.
     """
     q = queries.select("query").distinct().select("query", X.normalize_key(F.col("query")).alias("q")).withColumn("fold", X.phrase_key(F.col("q"))).where("fold <> ''")
+    q = q.select("*", F.explode(F.array_distinct(F.array(F.struct(F.lit("p").alias("of"), F.substring("fold", 1, KEY).alias("piece")), F.struct(F.lit("o").alias("of"), F.substring("q", 1, KEY).alias("piece"))))).alias("k"))
     f = features.select("row_no", F.length("term").alias("n"), "phrase", "latin_phrase", X.normalize_key(F.col("orig")).alias("orig_norm"))
-    hit = f.join(F.broadcast(q), rank_of(F.col("q"), F.col("fold")) > 0).withColumn("rank", rank_of(F.col("q"), F.col("fold")))
+    named = lambda of, xs: F.transform(F.array_distinct(xs), lambda x: F.struct(F.lit(of).alias("of"), x.alias("piece")))
+    both = F.concat(_pieces(F.coalesce("latin_phrase", F.lit(""))), _pieces(F.coalesce("orig_norm", F.lit(""))))
+    keyed = f.select("row_no", F.explode(F.concat(named("p", _pieces(F.col("phrase"))), named("o", both))).alias("k"))
+    # Only pieces that some query asks for go on; the rows themselves join once a hit is known.
+    met = keyed.join(q.select("k", "query"), "k").select("row_no", "query").distinct()
+    hit = met.join(f, "row_no").join(q.select("query", "q", "fold").distinct(), "query").withColumn("rank", rank_of(F.col("q"), F.col("fold"))).where("rank > 0")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("rank"), "n", "row_no"))
     return hit.withColumn("place", place).where(F.col("place") <= most).select("query", "row_no", "rank", "place")
 

@@ -33,6 +33,22 @@ def translated_meanings(terms: DataFrame, entries: DataFrame, cache: DataFrame,
     return told.unionByName(alone)
 
 
+def shortest_surface(entries: DataFrame, key: str, order: str = "ord") -> DataFrame:
+    """``key, term``: the shortest term of each key, the first of equals. Null keys and terms take no part."""
+    told = entries.where(F.col(key).isNotNull() & F.col("term").isNotNull())
+    return told.groupBy(key).agg(F.min(F.struct(F.length("term"), order, "term")).alias("m")).select(key, F.col("m.term").alias("term"))
+
+
+def capped_texts(texts: DataFrame, key: list[str], order: str, most: int = MAX_MEANINGS) -> DataFrame:
+    """``key, order, text, place`` (from 1): each key's first ``most`` texts that differ in their first ``PREFIX`` characters.
+
+    Null keys and texts take no part."""
+    told = texts.where(" and ".join(f"`{k}` is not null" for k in [*key, "text"]))
+    first = told.groupBy(*key, F.substring("text", 1, PREFIX).alias("prefix")).agg(F.min(F.struct(order, "text")).alias("m"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(f"m.{order}")))
+    return first.withColumn("place", place).where(F.col("place") <= most).select(*key, f"m.{order}", "m.text", "place")
+
+
 def sense_merge(terms: DataFrame, cache: DataFrame) -> DataFrame:
     """One row a sense: ``key, term, langs, sense_no, orig, okey, meanings, sources``.
 
@@ -43,22 +59,21 @@ def sense_merge(terms: DataFrame, cache: DataFrame) -> DataFrame:
     entries = translated_entries(terms, cache)
     meanings = translated_meanings(terms, entries, cache)
     e = checkpointed(entries.join(meanings.select("entry_id").distinct(), "entry_id", "left_semi"))
-    slots = e.groupBy("key").agg(F.min(F.struct(F.length("term"), "ord", "term")).alias("t"))
+    slots = shortest_surface(e, "key")
     langs = e.groupBy("key", "language").agg(F.min("ord").alias("ord")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ord", "language"))).alias("l"))
     first = e.groupBy("key", "okey").agg(F.min(F.struct("ord", "orig")).alias("f"))
     number = F.row_number().over(Window.partitionBy("key").orderBy("f.ord"))
     senses = first.withColumn("sense_no", number).where(F.col("sense_no") <= MAX_SENSES).select("key", "okey", "sense_no", F.col("f.orig").alias("orig"))
     kept = e.join(senses.select("key", "okey"), ["key", "okey"], "left_semi")
     by_sense = Window.partitionBy("key", "okey").orderBy("at")
-    texts = kept.join(meanings, "entry_id").groupBy("key", "okey", F.substring("text", 1, PREFIX).alias("prefix")).agg(F.min(F.struct(F.struct("ord", "pos").alias("at"), "text")).alias("m"))
-    texts = texts.select("key", "okey", "m.at", "m.text").withColumn("n", F.row_number().over(by_sense)).where(F.col("n") <= MAX_MEANINGS)
-    texts = texts.groupBy("key", "okey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]).alias("meanings"))
+    texts = capped_texts(kept.join(meanings, "entry_id").select("key", "okey", F.struct("ord", "pos").alias("at"), "text"), ["key", "okey"], "at")
+    texts = texts.groupBy("key", "okey").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]).alias("meanings"))
     names = kept.select("key", "okey", "ord", F.posexplode(F.slice("sources", 1, 2)).alias("pos", "s")).where("s.name is not null and s.name <> ''")
     names = names.groupBy("key", "okey", F.col("s.name").alias("name")).agg(F.min(F.struct("ord", "pos")).alias("at"))
     names = names.withColumn("n", F.row_number().over(by_sense)).where(F.col("n") <= MAX_SOURCES)
     names = names.groupBy("key", "okey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: x["name"]).alias("sources"))
     out = senses.join(texts, ["key", "okey"]).join(names, ["key", "okey"], "left").join(slots, "key").join(langs, "key")
-    return out.select("key", F.col("t.term").alias("term"), F.transform("l", lambda x: x["language"]).alias("langs"), "sense_no", "orig", "okey", "meanings", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
+    return out.select("key", "term", F.transform("l", lambda x: x["language"]).alias("langs"), "sense_no", "orig", "okey", "meanings", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
 
 
 def with_tone(senses: DataFrame) -> DataFrame:

@@ -82,8 +82,7 @@ def source_count(s, d):
 
 @query
 def lang_explode_counts(s, d):
-    by_key = _terms(s, d).where("term_normalized is not null").groupBy("term_normalized").agg(F.collect_set("language").alias("langs"))
-    return senses.lang_explode_counts(by_key)
+    return senses.lang_explode_counts(_terms(s, d).where("term_normalized is not null").groupBy("term_normalized").agg(F.collect_set("language").alias("langs")))
 
 
 @query
@@ -157,7 +156,7 @@ def alias_split(s, d):
 
 @query
 def phrase_split(s, d):
-    t = _raw(s, d).where("language = 'zh-Hant' and meaning is not null").select("ord", F.translate("meaning", "，。", "　　").alias("text"))
+    t = _raw(s, d).where("meaning is not null").select("ord", F.translate("meaning", "，。", "　　").alias("text"))
     return parsers.phrases(t, ["ord"]).select("ord", F.col("pos").cast("bigint").alias("pos"), "term")
 
 
@@ -245,18 +244,13 @@ def batch_fill(s, d):
 
 @query
 def shortest_surface(s, d):
-    t = _raw(s, d).where("term_normalized is not null and term is not null")
-    return t.groupBy("term_normalized").agg(F.min(F.struct(F.length("term"), "ord", "term")).alias("m")).select("term_normalized", F.col("m.term").alias("term"))
+    return senses.shortest_surface(_raw(s, d), "term_normalized")
 
 
 @query
 def capped_meanings(s, d):
-    from pyspark.sql import Window
-
-    m = _terms(s, d).where("term_normalized is not null").select("term_normalized", F.explode("meanings").alias("m")).where("m.text is not null")
-    first = m.groupBy("term_normalized", F.substring("m.text", 1, senses.PREFIX).alias("prefix")).agg(F.min("m.meaning_id").alias("meaning_id"))
-    place = F.row_number().over(Window.partitionBy("term_normalized").orderBy("meaning_id"))
-    return first.withColumn("place", place).where(F.col("place") <= senses.MAX_MEANINGS).select("term_normalized", F.col("place").cast("bigint").alias("place"), "meaning_id")
+    m = _terms(s, d).select("term_normalized", F.explode("meanings").alias("m")).select("term_normalized", F.col("m.meaning_id").alias("meaning_id"), "m.text")
+    return senses.capped_texts(m, ["term_normalized"], "meaning_id").select("term_normalized", F.col("place").cast("bigint").alias("place"), "meaning_id")
 
 
 @query
@@ -272,9 +266,15 @@ def shard_assign(s, d):
 
 @query
 def shard_lookup(s, d):
-    placed = shard_assign(s, d)
-    wanted = placed.where("i % 50 = 0").select("shard", "idx")
-    return placed.join(wanted, ["shard", "idx"]).select("key", "shard", "idx")
+    terms = _terms(s, d).where("term_normalized is not null")
+    placed = checkpointed(senses.shard_assign(terms.select(F.col("term_normalized").alias("key")).distinct()))
+    first = terms.groupBy(F.col("term_normalized").alias("key")).agg(F.min(F.struct("entry_id", "term", "meaning_count")).alias("f"))
+    rows = placed.join(first, "key")
+    index = rows.select(F.col("i").alias("row_no"), "key", "f.term", F.lit(0).alias("tone"), F.lit(None).cast("array<string>").alias("langs"), F.lit(None).cast("string").alias("orig"), "shard", "idx")
+    payload = rows.select("shard", "idx", F.lit(1).alias("place"), F.col("key").alias("orig"), F.col("f.meaning_count").alias("tone"), F.array("f.term").alias("meanings"), F.lit(None).cast("array<string>").alias("sources"))
+    found = interpret.shard_lookup(index.where("row_no % 50 = 0").select("row_no"), index, payload)
+    sense = F.get("senses", 0)
+    return found.select("row_no", F.col("shard").cast("bigint").alias("shard"), F.col("idx").cast("bigint").alias("idx"), "term", sense["orig"].alias("key"), sense["tone"].cast("bigint").alias("meaning_count"))
 
 
 @query
@@ -343,7 +343,7 @@ def match_diverse(s, d):
 def pick_sense(s, d):
     index, payload = senses.build_index(B.lexicon_of_cache(s, d), _cache(s, d))
     index = checkpointed(index)
-    features, ctx = checkpointed(match.lexicon_features(index)), checkpointed(match.contexts(B.diaries(s, d), "ord"))
+    features, ctx = checkpointed(match.lexicon_features(index)), checkpointed(match.contexts(B.asked(s, d), "ord"))
     found = match.match_diverse(match.match_candidates(ctx, features, "ord"), features, "ord")
     picked = interpret.pick_sense(interpret.shard_lookup(found, index, payload), ctx, "ord")
     return picked.select("ord", "place", "row_no", "term", "tone", "orig", F.get("meanings", 0).alias("meaning"))
@@ -384,7 +384,7 @@ def theme_quotes(s, d):
 @query
 def reading_compose(s, d):
     pool = checkpointed(interpret.reading_pool(B.items(s, d), "ord"))
-    texts = B.diaries(s, d)
+    texts = B.asked(s, d)
     return interpret.reading_compose(texts, pool, match.contexts(texts, "ord"), "ord")
 
 
@@ -393,14 +393,14 @@ def reading_compose(s, d):
 
 @query
 def dict_search(s, d):
-    asked = _cache(s, d).where("line_no % 50 = 0 and v is not null and v <> ''").select(F.substring("v", 1, 3).alias("query"))
+    asked = B.index(s, d).where("row_no % 50 = 0").select(F.col("term").alias("query"))
     found = search.dict_search(asked, match.lexicon_features(B.index(s, d)))
     return found.select("query", "row_no", F.col("rank").cast("bigint").alias("rank"), F.col("place").cast("bigint").alias("place"))
 
 
 @query
 def stride_sample(s, d):
-    f = match.lexicon_features(B.index(s, d).withColumn("term", F.substring("term", 1, 4)))
+    f = match.lexicon_features(B.index(s, d))
     return search.stride_sample(checkpointed(f), start=5, stride=97)
 
 

@@ -127,7 +127,7 @@ firsts as (
 feats as (select c.*, list_concat(own_latin, coalesce(extra, [])) as latin from classes c left join firsts using (row_no))"""
 _BRIDGE = "list_filter([" + ", ".join(f"case when list_contains(other_set, '{a}') or regexp_matches(fold, '(^|[^ぁ-ん一-鿿々]){a}') then '{b}' end" for a, b in pack.KANA_BRIDGE) + "], lambda x: x is not null)"
 _CONTEXT = f"""
-dn as (select ord, {norm_key("meaning")} as norm from raw_entries where language = 'ja' and meaning is not null),
+dn as (select ord, {norm_key("meaning")} as norm from raw_entries where meaning is not null),
 df as (select ord, norm, {phrase_key("norm")} as fold, regexp_extract_all(norm, '[一-鿿々]+|[ァ-ヴー]+|[a-z0-9]+') as rs from dn),
 ds as (
   select ord, fold, ' ' || trim(regexp_replace(norm, '[^\\pL\\pN]+', ' ', 'g')) || ' ' as pad, list_filter(rs, lambda r: regexp_full_match(r, '[一-鿿々]+')) as kr,
@@ -137,7 +137,7 @@ ds as (
 ),
 ctx as (select ord, fold, pad, list_concat(kr, {_BRIDGE}) as kanji_runs, other_set, latin_set from ds)"""
 _CANDIDATES = f"""
-{_INDEX}, {_CONTEXT},
+{_INDEX}, {_CONTEXT.replace("meaning is not null", "meaning is not null and ord % 50 = 0")},
 pairs as (
   select ord, row_no, term, phrase, tone, v,
     coalesce(case when latin_phrase is not null then length(latin_phrase) >= 3 and contains(pad, ' ' || latin_phrase || ' ') else length(phrase) >= 3 and contains(fold, phrase) end, false) as phrase_hit,
@@ -198,7 +198,7 @@ from h left join (select key, count(*) as mc from ms group by key) using (key) l
     "lang_explode_counts": "select language, count(distinct term_normalized) as entries from dream_terms where term_normalized is not null and language is not null group by language",
     "row_count_guard": f"with {_MERGED} select count(*) as n_rows from merged",
     "union_sources": f"with {_PAGES} select 0 as rank, source.name as source_name, count(*) as entries, min(ord) as first_ord from raw_entries group by source.name union all select 1, 'Crawled pages', count(*), min(line_no) from pages",
-    "nested_lexicon": f"with {_MERGED}, a as (select key, count(distinct x) as n from (select key, unnest(aliases) as x from keyed) where x is not null group by key) select term_normalized, case when meaning_count <= 10000 then meaning_count end as n_meanings, source_count as n_sources, coalesce(n, 0) as n_aliases from merged left join a on a.key = term_normalized",
+    "nested_lexicon": f"with {_MERGED}, a as (select key, count(distinct x) as n from (select key, unnest(aliases) as x from keyed) where x is not null group by key) select term_normalized, meaning_count as n_meanings, source_count as n_sources, coalesce(n, 0) as n_aliases from merged left join a on a.key = term_normalized",
     "required_fields": f"with r as (select source.name as source_name, {strip("coalesce(term, '')")} <> '' and {strip("coalesce(meaning, '')")} <> '' as ok from raw_entries) select source_name, count(*) filter (ok) as kept, count(*) filter (not ok) as dropped from r group by source_name",
     "field_map": f"select * from (select ord, {strip("coalesce(term, '')")} as term, md5({normalize('meaning')}) as meaning_md5 from raw_entries) where term <> '' and meaning_md5 <> md5('')",
     "nested_explode": f"select entry_id, md5(t) as meaning_md5 from (select entry_id, {normalize('x')} as t from (select entry_id, unnest(list_transform(meanings, lambda m: m.text)) as x from dream_terms)) where t <> ''",
@@ -214,7 +214,7 @@ t as (select line_no, q, m, regexp_matches(q, '(?i)rüyada\s+(.+?)\s+görmek\s+n
 select * from (select line_no, case when hit then found else q end as term, case when hit and {fold("found")} <> {fold("q")} then 1 else 0 end::bigint as n_aliases from t where m <> '') where term <> ''""",
     "alias_split": rf"""with t as (select ord, term || ' and ' || coalesce(source.name, 'x') as t from raw_entries where term is not null)
 select ord, array_to_string(list_filter(list_transform(regexp_split_to_array(t, '(?i)\band\b'), lambda p: {strip("p")}), lambda p: p <> '' and {fold("p")} <> {fold("t")}), '|') as aliases from t""",
-    "phrase_split": rf"""with t as (select ord, {strip("unnest(string_split(replace(translate(meaning, '，。', chr(12288) || chr(12288)), chr(13), chr(10)), chr(10)))")} as line from raw_entries where language = 'zh-Hant' and meaning is not null),
+    "phrase_split": rf"""with t as (select ord, {strip("unnest(string_split(replace(translate(meaning, '，。', chr(12288) || chr(12288)), chr(13), chr(10)), chr(10)))")} as line from raw_entries where meaning is not null),
 p as (select ord, unnest(parts) as raw, unnest(range(len(parts))) as pos from (select ord, regexp_split_to_array(line, '\x{{3000}}+|{_W}{{2,}}') as parts from t where line <> '' and not regexp_matches(line, '^(\{{\{{|==)') and line <> '詩曰')),
 q as (select ord, pos, {strip("raw")} as term from p)
 select ord, pos, term from q where length(term) >= 5 and not regexp_matches(term, '[A-Za-z{{}}\[\]|=#]')""",
@@ -250,7 +250,7 @@ r as (
 select lang, entry_id, slot, block, batch from r""",
     "translation_items": f"with {_ITEMS} select lang, md5(text) as text_md5, f[1] as entry_id, f[2]::bigint as slot from items",
     "translation_todo": f"with {_ITEMS} select lang, count(*) as items from items where (lang, text) not in (select (lang, text) from translation_cache where lang is not null and text is not null) group by lang",
-    "translate_lookup": "with c as (select lang, text, arg_max_null(v, line_no) as told from translation_cache group by lang, text) select line_no, told from translation_cache left join c using (lang, text) where line_no % 2 = 0",
+    "translate_lookup": "with c as (select lang, text, arg_max_null(v, line_no) as told from translation_cache group by lang, text) select line_no, told from translation_cache left join c using (lang, text)",
     "shortest_surface": "select term_normalized, term from raw_entries where term_normalized is not null and term is not null qualify row_number() over (partition by term_normalized order by length(term), ord) = 1",
     "capped_meanings": """with m as (select term_normalized, unnest(meanings) as m from dream_terms where term_normalized is not null),
 f as (select term_normalized, substr(m.text, 1, 36) as p, min(m.meaning_id) as meaning_id from m where m.text is not null group by 1, 2)
@@ -261,7 +261,8 @@ i as (select key, row_number() over (order by key) - 1 as i, count(*) over () as
 z as (select key, i, (n + 127) // 128 as size from i) select key, i, least(i // size, 127) as shard, i - least(i // size, 127) * size as idx from z""",
     "shard_lookup": """with k as (select distinct term_normalized as key from dream_terms where term_normalized is not null),
 i as (select key, row_number() over (order by key) - 1 as i, count(*) over () as n from k),
-z as (select key, i, (n + 127) // 128 as size from i) select key, least(i // size, 127) as shard, i - least(i // size, 127) * size as idx from z where i % 50 = 0""",
+z as (select key, i, (n + 127) // 128 as size from i), f as (select term_normalized as key, arg_min(term, entry_id) as term, arg_min(meaning_count, entry_id) as meaning_count from dream_terms group by term_normalized)
+select i as row_no, least(i // size, 127) as shard, i - least(i // size, 127) * size as idx, term, key, meaning_count::bigint as meaning_count from z join f using (key) where i % 50 = 0""",
     "lexicon_features": f"with {_INDEX} select row_no, phrase, array_to_string(kanji, '|') as kanji, array_to_string(other, '|') as other, array_to_string(latin, '|') as latin from feats",
     "keyword_classes": f"with {_INDEX} select kw, count(*) as uses from (select unnest(list_concat(list_concat(kanji, other), latin)) as kw from feats) group by kw",
     "synonym_bridge": f"with {_CONTEXT} select ord, array_to_string(kanji_runs, '|') as runs from ctx",
@@ -272,16 +273,16 @@ i as (select ord, place, v, case when tone <> 0 then tone else sign({_hits("v",
 h as (select ord, place, polarity, unnest({_THEMES}) as h from i),
 g as (select ord, h.theme as theme, h.theme_no as theme_no, sum(h.hits)::bigint as score, sum(polarity * h.hits)::bigint as polarity, min(place) as first_place from h where h.hits > 0 group by all)
 select ord, theme, score, polarity, first_place, row_number() over (partition by ord order by score desc, first_place, theme_no) as rank from g""",
-    "pair_insight": "select ord, case " + " ".join(f"when {_any('meaning', a)} and {_any('meaning', b)} then {n}" for n, (a, b) in enumerate(pack.PAIR_RULES, 1)) + " else 0 end::bigint as rule from raw_entries where language = 'ja' and meaning is not null",
+    "pair_insight": "select ord, case " + " ".join(f"when {_any('meaning', a)} and {_any('meaning', b)} then {n}" for n, (a, b) in enumerate(pack.PAIR_RULES, 1)) + " else 0 end::bigint as rule from raw_entries where meaning is not null",
     "reading_pool": f"with {_POOL} select ord, row_no, pool_place from pool",
     "tone_mood": f"with {_POOL}, g as (select ord, count(*) filter (tone = 1) as good, count(*) filter (tone = -1) as ill from pool group by ord) select ord, good, ill, case when good > 0 and ill > 0 then 'mixed' when good > 0 then 'pos' when ill > 0 then 'neg' else 'neutral' end as mood from g",
     "tone_digest": f"with {_CANDIDATES}, g as (select ord, count(*) filter (tone = 1) as good, count(*) filter (tone = -1) as ill from topk group by ord) select ord, case when good = 0 and ill = 0 then '中' else concat_ws(' / ', case when good > 0 then '吉' || good end, case when ill > 0 then '注意' || ill end) end as digest from g",
     "dict_search": f"""with {_INDEX},
-q as (select query, {norm_key("query")} as q from (select distinct substr(v, 1, 3) as query from translation_cache where line_no % 50 = 0 and v is not null and v <> '')),
+q as (select query, {norm_key("query")} as q from (select distinct term as query from idx where row_no % 50 = 0)),
 z as (select query, q, {phrase_key("q")} as fold from q),
 r as (select query, row_no, length(term) as n, case when phrase = fold then 4 when prefix(phrase, fold) then 3 when contains(phrase, fold) then 2 when contains(latin_phrase, q) then 1 when contains(orig_norm, q) and length(q) >= 3 then 1 else 0 end::bigint as rank from feats cross join z where fold <> '')
 select query, row_no, rank, row_number() over (partition by query order by rank desc, n, row_no) as place from r where rank > 0 qualify place <= 20""",
-    "stride_sample": f"""with {_INDEX}, n as (select count(*) as n from feats), t as (select row_no, substr(term, 1, 4) as term, (((row_no - 5) % n) + n) % n as step from feats, n)
+    "stride_sample": f"""with {_INDEX}, n as (select count(*) as n from feats), t as (select row_no, term, (((row_no - 5) % n) + n) % n as step from feats, n)
 select row_no, term from t where step % 97 = 0 and length(term) between 1 and 4 and not regexp_matches(term, '[a-z]') order by step limit 8""",
     "history_latest60": "select user_id, event_id, row_number() over (partition by user_id order by ts desc nulls last, event_id desc) as place from events qualify place <= 60",
     "history_delete": "select event_id, user_id from events where event_id not in (1, 5, 50)",
