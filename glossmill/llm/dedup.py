@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossmill.session import checkpointed
+
 # ASCII symbols that count as punctuation though Unicode calls them symbols.
 _ASCII_SYMBOLS = r"$+<=>^`|~"
 _DROPPED = r"[\p{P}\p{Z}\s" + "".join("\\" + c for c in _ASCII_SYMBOLS) + r"]+"
@@ -49,6 +51,7 @@ def collapse(prints: DataFrame) -> DataFrame:
 
 def copy_links(prints: DataFrame) -> DataFrame:
     """(``keep_id``, ``copy_id``) for every record that has a smaller-numbered copy."""
+    prints = checkpointed(prints)  # read twice below, and far smaller than the texts
     groups = collapse(prints).where("copies > 1").select("h1", "h2", "guard", "keep_id")
     return prints.join(groups, ["h1", "h2", "guard"]).where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id"))
 
