@@ -71,25 +71,37 @@ def fingerprint(*parts: Column, digits: int = 10) -> Column:
     return F.substring(F.sha1(F.to_json(F.struct(*parts))), 1, digits)
 
 
-def translate_batches(items: DataFrame, call: Callable[[str, list[str]], list[str]], max_chars: int = 3600, max_items: int = 48) -> DataFrame:
-    """``lang, text, v``: items sent through ``call(lang, texts)`` batch by batch, on the executors.
-
-    An answer with another number of lines than the batch is not trusted: its items are sent one by one. What fails is null.
+def translate_batches(
+    items: DataFrame, call: Callable[[str, list[str]], list[str]], max_chars: int = 3600, max_items: int = 48,
+    tries: int = 6, wait: float = 0.1, failures: tuple[type[Exception], ...] = (OSError, ValueError),
+) -> DataFrame:
+    """``lang, text, v, failed``: items sent through ``call(lang, texts)`` batch by batch, on the executors.
+
+    A call that raises one of ``failures`` is repeated up to ``tries`` times, with waits that double from ``wait`` seconds;
+    other errors end the job. An answer with another number of lines than the batch is not trusted. Items of a batch that
+    fails either way are sent one by one; what fails then is null and marked ``failed``.
     """
     placed = batch_fill(items, max_chars, max_items)
     rows = items.join(placed, ["lang", "entry_id", "slot"]).select("lang", "block", "batch", "entry_id", "slot", "text")
 
-    def told(lang: str, texts: list[str]) -> list[str | None]:
-        try:
-            got = list(call(lang, texts))
-        except Exception:  # a failed call is a missing value, not a failed job
-            got = []
-        if len(got) == len(texts):
-            return got
-        return [None] if len(texts) == 1 else [told(lang, [t])[0] for t in texts]
+    def asked(lang: str, texts: list[str]) -> list[str] | None:
+        for n in range(tries):
+            try:
+                got = list(call(lang, texts))
+                return got if len(got) == len(texts) else None
+            except failures:
+                time.sleep(wait * 2**n if n < tries - 1 else 0)
+        return None
+
+    def told(lang: str, texts: list[str]) -> list[tuple[str | None, bool]]:
+        got = asked(lang, texts)
+        if got is not None:
+            return [(v, False) for v in got]
+        return [(None, True)] if len(texts) == 1 else [told(lang, [t])[0] for t in texts]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["entry_id", "slot"])
-        return pd.DataFrame({"lang": pdf["lang"], "text": pdf["text"], "v": told(pdf["lang"].iloc[0], list(pdf["text"]))})
+        answers = told(pdf["lang"].iloc[0], list(pdf["text"]))
+        return pd.DataFrame({"lang": pdf["lang"], "text": pdf["text"], "v": [v for v, _ in answers], "failed": [f for _, f in answers]})
 
-    return rows.groupBy("lang", "block", "batch").applyInPandas(run, "lang string, text string, v string")
+    return rows.groupBy("lang", "block", "batch").applyInPandas(run, "lang string, text string, v string, failed boolean")

@@ -159,6 +159,20 @@ cand as (
 topk as (
   select *, row_number() over (partition by ord order by score desc, length(phrase) desc, length(term), row_no) as place from cand where score > 0 qualify place <= 12
 )"""
+_SHARED = "len(list_filter(a.ks, lambda x: list_contains(r.kanji, x)))"
+_DIVERSE = f"""
+{_CANDIDATES},
+ranked as (select c.ord, c.row_no, c.score, c.ja_full, c.phrase, f.kanji, row_number() over (partition by c.ord order by c.score desc, length(c.phrase) desc, length(c.term), c.row_no) as k from cand c join feats f using (row_no) where c.score > 0),
+walk as (
+  select distinct ord, 0::bigint as k, null::bigint as row_no, null::bigint as score, false as taken, 0 as n, []::struct(p varchar, f boolean, ks varchar[])[] as acc from ranked
+  union all
+  select ord, k, row_no, score, taken, n + taken::integer, case when taken then list_append(acc, {{'p': phrase, 'f': ja_full, 'ks': kanji}}) else acc end
+  from (
+    select r.*, w.n, w.acc,
+      len(list_filter(w.acc, lambda a: contains(r.phrase, a.p) or contains(a.p, r.phrase) or (a.f and r.ja_full and len(a.ks) > 0 and len(a.ks) = len(r.kanji) and {_SHARED} = len(a.ks)))) = 0
+      and not (len(r.kanji) > 0 and len(list_filter(w.acc, lambda a: {_SHARED} > 0)) >= 2) as taken
+    from walk w join ranked r on r.ord = w.ord and r.k = w.k + 1 where w.n < 12)
+)"""
 _POOL = f"""
 {_CANDIDATES},
 short as (select *, count(*) filter (length(term) <= 14) over (partition by ord) as n_short from topk),
@@ -268,6 +282,7 @@ select i as row_no, least(i // size, 127) as shard, i - least(i // size, 127) *
     "synonym_bridge": f"with {_CONTEXT} select ord, array_to_string(kanji_runs, '|') as runs from ctx",
     "match_candidates": f"with {_CANDIDATES} select ord, row_no, score, phrase_hit, ja_full from cand where score > 0",
     "match_topk": f"with {_CANDIDATES} select ord, row_no, score, place from topk",
+    "match_diverse": f"with recursive {_DIVERSE} select ord, row_no, score, n as place from walk where taken",
     "theme_scores": f"""with {_CANDIDATES},
 i as (select ord, place, v, case when tone <> 0 then tone else sign({_hits("v", pack.READING_GOOD)} - {_hits("v", pack.READING_ILL)})::bigint end as polarity from topk),
 h as (select ord, place, polarity, unnest({_THEMES}) as h from i),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import time
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -45,16 +46,31 @@ def read_zipped_csv(spark: SparkSession, path: str, member: str, columns: Sequen
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
+#: Columns that ``write_cache`` adds: when a batch was appended, and a row's place in it.
+BATCH, PLACE = "_batch", "_place"
+
+
 def read_jsonl_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An append-only JSON-lines cache with ``line_no``; malformed lines are dropped, a missing path is an empty table."""
+    """An append-only JSON-lines cache with ``line_no``; malformed lines are dropped, a missing path is an empty table.
+
+    ``line_no`` is a struct that orders lines as they were appended, in whichever order Spark reads the files: by batch and
+    place where ``write_cache`` noted them, else by the file's time and name and the place in the file.
+    """
     try:
         lines = spark.read.text(path)
     except Exception as e:  # a cache that was never written
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        lines = spark.createDataFrame([], "value string")
-    parsed = lines.withColumn("line_no", F.monotonically_increasing_id()).select("line_no", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), F.col("value"))
-    return parsed.where(F.try_parse_json("value").isNotNull() & F.col("r").isNotNull()).select("line_no", "r.*")
+        line_no = "struct<batch: bigint, place: bigint, file: string, block: bigint, row: bigint>"
+        return spark.createDataFrame([], f"line_no {line_no}, {schema}")
+    meta = "_metadata"
+    parsed = lines.select(
+        F.from_json("value", f"{schema}, {BATCH} bigint, {PLACE} bigint", {"mode": "PERMISSIVE"}).alias("r"), "value", F.monotonically_increasing_id().alias("row"),
+        F.unix_micros(f"{meta}.file_modification_time").alias("time"), F.col(f"{meta}.file_path").alias("file"), F.col(f"{meta}.file_block_start").alias("block"),
+    )
+    known = parsed.where(F.try_parse_json("value").isNotNull() & F.col("r").isNotNull())
+    line_no = F.struct(F.coalesce(f"r.{BATCH}", "time").alias("batch"), F.coalesce(f"r.{PLACE}", F.lit(0)).alias("place"), "file", "block", "row")
+    return known.select(line_no.alias("line_no"), "r.*").drop(BATCH, PLACE)
 
 
 def cache_last_wins(log: DataFrame, key: Sequence[str], order: str = "line_no") -> DataFrame:
@@ -120,5 +136,5 @@ def write_shards(rows: DataFrame, path: str) -> None:
 
 
 def write_cache(rows: DataFrame, path: str) -> None:
-    """Append to a JSON-lines cache."""
-    rows.write.mode("append").json(path)
+    """Append to a JSON-lines cache. Rows carry the time of their batch and their place in it, by which readers order them."""
+    rows.withColumn(BATCH, F.lit(time.time_ns() // 1000).cast("bigint")).withColumn(PLACE, F.monotonically_increasing_id()).write.mode("append").json(path)

@@ -130,6 +130,22 @@ def test_readers(spark, tmp_path):
     assert readers.read_json(spark, str(tmp_path / "j.json"), "a int").count() == 2
 
 
+def test_appended_cache_keeps_its_order(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    batch = lambda v, n: spark.createDataFrame([("a", v)] + [(f"k{v}{k}", "x" * 50) for k in range(n)], "k string, v string").coalesce(1)
+    for v, n in (("first", 300), ("second", 1), ("third", 900), ("last", 5)):
+        readers.write_cache(batch(v, n), path)
+    log = readers.read_jsonl_cache(spark, path, "k string, v string")
+    assert log.columns == ["line_no", "k", "v"] and log.count() == 1210
+    assert {r.k: r.v for r in readers.cache_last_wins(log, ["k"]).collect()}["a"] == "last"
+
+
+def test_batches_do_not_cross_blocks(spark):
+    items = spark.createDataFrame([("en", k, 0, "text") for k in (0, 49_999, 50_000, 50_001, 120_000)], "lang string, entry_id bigint, slot int, text string")
+    got = {r.entry_id: (r.block, r.batch) for r in translate.batch_fill(items).collect()}
+    assert got == {0: (0, 0), 49_999: (0, 0), 50_000: (1, 0), 50_001: (1, 0), 120_000: (2, 0)}
+
+
 def test_paged_source(spark):
     spark.dataSource.register(readers.paged_source("numbers", "n int", lambda offset, limit: [(offset + k,) for k in range(limit)]))
     rows = spark.read.format("numbers").option("total", 23).option("page", 10).load()
@@ -196,6 +212,13 @@ def test_translator_answers_are_checked(spark):
 
     got = {(r.lang, r.text): r.v for r in translate.translate_batches(items, call).collect()}
     assert got["en", "t59"] == "T59" and got["tr", "bad"] is None and got["tr", "good"] == "GOOD" and len(got) == 62
+    assert translate.translate_batches(items, call, wait=0).where("failed").select("text").collect() == [("bad",)]
+
+    def wrong(lang, texts):
+        raise KeyError("a mistake in the program")
+
+    with pytest.raises(Exception, match="a mistake in the program"):
+        translate.translate_batches(items, wrong).collect()
 
 
 def test_items_and_todo(spark):
