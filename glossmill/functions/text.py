@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 WS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
 KANJI = "[一-鿿々]"
 #: Runs that make keywords: index building takes a wider katakana class than matching.
+# The two classes.
 RUNS_BUILD = "[一-鿿々]+|[ァ-・ー]+|[a-z0-9]+"
 RUNS_MATCH = "[一-鿿々]+|[ァ-ヴー]+|[a-z0-9]+"
 _KATAKANA = "".join(chr(c) for c in range(0x30A1, 0x30F7))
@@ -107,6 +108,7 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
 
 def clean_term(norm: Column) -> Column:
     """A translated term without artifacts: doubled forms, leading pronouns, comma variants, index letters, stock endings."""
+    # The patterns of this function.
     twice, run_on = r"^(.+?)\s*/\s*\1$", r"^(.{4,20})\1$"
     pronoun, seen = "^(あなた|わたし|私|彼女|彼)(は|が|の)", "^(.{2,}?)(の夢)?を見る(こと|の)?$"
 
@@ -168,6 +170,7 @@ def source_text(language: Column, text: Column, limit: int = 280) -> Column:
 def clean_meaning(x: Column, limit: int = 220) -> Column:
     """A translated meaning without cross references, cut at a sentence end if that leaves 40 % of the limit."""
     t = clean_text(x)
+    # Cross references at the beginning.
     for pattern in ("^（「[^」]{1,30}」[^）]{0,10}）\\s*", "^参照[:：]\\s*[^。]{1,40}[。 ]\\s*", "^見る[;；]\\s*\\S{1,20}\\s*"):
         t = F.trim(F.regexp_replace(t, pattern, ""))
 
@@ -193,6 +196,7 @@ def tone(joined: Column, original: Column, good: Sequence[str], ill: Sequence[st
 
 def clause_complete(x: Column) -> Column:
     """Whether a clause can stand alone; tests apply in this order."""
+    # Endings.
     return (
         F.when(x.rlike("(こと|もの|ため|とき|よう|さま)$"), True)
         .when(x.rlike("[してにをがはでとやのへ、か]$"), False)
@@ -201,6 +205,7 @@ def clause_complete(x: Column) -> Column:
     )
 
 
+# Endings that close a sentence.
 _STRONG = "(こと|です|ます|でしょう|ください|しれません)$"
 
 
@@ -235,6 +240,7 @@ def summarize(x: Column, limit: int = 110) -> Column:
 def essence(x: Column) -> Column:
     """What a meaning says comes of it: of the first three sentences, the first that yields a complete short core."""
     sentences = F.slice(F.filter(F.split(F.regexp_replace(F.coalesce(x, F.lit("")), f"[{WS}]+", ""), "(?<=[。!?！？])"), lambda p: p != ""), 1, 3)
+    # What leads up to the core, and what follows it.
     lead = "^.{0,42}?(?:ことは|場合(?:は|、)|のは、?|は、|なら、?)(.+)$"
     tail = "^(.*?)(?:こと|の)?(?:を意味します|を意味する|を示しています|を示します|を表しています|を表します|と解釈されます|とされています|と言われています|の(?:兆し|兆候|前兆|しるし)です|を告げています|につながります)$"
 

@@ -101,6 +101,40 @@ def lexicon_upsert(terms: DataFrame, pages: DataFrame, source_name: str, languag
     return out.select(F.col("key").alias("term_normalized"), "h.term", "h.language", "meaning_count", "source_count", (F.col("h.rank") == 1).alias("is_new"))
 
 
+def _usable_pages(pages: DataFrame) -> DataFrame:
+    """``key, rank, ord, meaning, alias`` of the pages with a term and a meaning; rank 1 puts them behind a lexicon's entries."""
+    p = pages.withColumn("term", X.clean_text(F.col("term"))).withColumn("meaning", X.strip(F.coalesce("meaning", F.lit("")))).where("term <> '' and meaning <> ''")
+    return p.select(X.casefold(F.col("term")).alias("key"), F.lit(1).alias("rank"), F.col("line_no").alias("ord"), "meaning", X.strip(F.coalesce("alias", F.lit(""))).alias("alias"))
+
+
+def upsert_meanings(terms: DataFrame, pages: DataFrame, source_name: str) -> DataFrame:
+    """The meanings of a lexicon with pages added: ``term_normalized, is_new, ord, pos, text, source_name``.
+
+    A key's meanings stand as they were (of equal ones the first); a page's follows if the key has none equal to it. Null texts have no row.
+    """
+    old = terms.where("term_normalized is not null").select(F.col("term_normalized").alias("key"), F.lit(0).alias("rank"), F.col("entry_id").alias("ord"), F.posexplode("meanings").alias("pos", "m"))
+    o = old.select("key", "rank", "ord", "pos", F.col("m.text").alias("text"), F.col("m.source_name").alias("source_name")).where("text is not null")
+    n = _usable_pages(pages).select("key", "rank", "ord", F.lit(0).alias("pos"), F.col("meaning").alias("text"), F.lit(source_name).alias("source_name"))
+    first = o.unionByName(n).groupBy("key", F.md5(X.meaning_key(F.col("text"))).alias("mkey")).agg(F.min(F.struct("rank", "ord", "pos", "text", "source_name")).alias("f"))
+    return first.select(F.col("key").alias("term_normalized"), (F.col("f.rank") == 1).alias("is_new"), "f.ord", "f.pos", "f.text", "f.source_name")
+
+
+def upsert_sources(terms: DataFrame, pages: DataFrame, source_name: str, url: str) -> DataFrame:
+    """The sources of a lexicon with pages added: ``term_normalized, name, url, is_new``, one a key and name, the first met."""
+    old = terms.where("term_normalized is not null").select(F.col("term_normalized").alias("key"), F.lit(0).alias("rank"), F.col("entry_id").alias("ord"), F.posexplode("sources").alias("pos", "s"))
+    o = old.select("key", "rank", "ord", "pos", F.col("s.name").alias("name"), F.col("s.url").alias("url")).where("name is not null")
+    n = _usable_pages(pages).select("key", "rank", "ord", F.lit(0).alias("pos"), F.lit(source_name).alias("name"), F.lit(url).alias("url"))
+    first = o.unionByName(n).groupBy("key", "name").agg(F.min(F.struct("rank", "ord", "pos", "url")).alias("f"))
+    return first.select(F.col("key").alias("term_normalized"), "name", "f.url", (F.col("f.rank") == 1).alias("is_new"))
+
+
+def upsert_aliases(terms: DataFrame, pages: DataFrame) -> DataFrame:
+    """The aliases of a lexicon with pages added: ``term_normalized, alias, sort_key``, each once."""
+    old = terms.where("term_normalized is not null").select(F.col("term_normalized").alias("key"), F.explode("aliases").alias("alias")).where("alias is not null")
+    both = old.unionByName(_usable_pages(pages).where("alias <> ''").select("key", "alias")).distinct()
+    return both.select(F.col("key").alias("term_normalized"), "alias", X.casefold(F.col("alias")).alias("sort_key"))
+
+
 def language_counts(lexicon: DataFrame) -> DataFrame:
     return lexicon.groupBy("language").agg(F.count(F.lit(1)).alias("entries"))
 

@@ -65,6 +65,21 @@ def lexicon_upsert(s, d):
     return merge.lexicon_upsert(_terms(s, d), B.pages(s, d), B.PAGE_SOURCE)
 
 
+@query
+def upsert_meanings(s, d):
+    return merge.upsert_meanings(_terms(s, d), B.pages(s, d), B.PAGE_SOURCE).select("term_normalized", "is_new", "ord", F.md5("text").alias("text_md5"), "source_name")
+
+
+@query
+def upsert_sources(s, d):
+    return merge.upsert_sources(_terms(s, d), B.pages(s, d), B.PAGE_SOURCE, "https://pages.example")
+
+
+@query
+def upsert_aliases(s, d):
+    return merge.upsert_aliases(_terms(s, d), B.pages(s, d))
+
+
 @query
 def lexicon_summary(s, d):
     return merge.lexicon_summary(merge.merge_lexicon(_raw(s, d)))

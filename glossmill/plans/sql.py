@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from glossmill.functions import pack
+from glossmill.functions.text import RUNS_MATCH
 
 _W = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _P = r"""[「」『』()\[\]。、.,!?！?・…"'']"""
@@ -109,8 +110,8 @@ idx as (
 normed as (select *, {norm_key("term")} as norm, {norm_key("orig")} as orig_norm from idx),
 runs as (
   select *, {phrase_key("norm")} as phrase, case when regexp_full_match(norm, '[a-z0-9 .''-]+') then norm end as latin_phrase,
-    list_filter(regexp_extract_all(norm, '[一-鿿々]+|[ァ-ヴー]+|[a-z0-9]+'), lambda r: not list_contains({words(pack.MATCH_STOP)}, r)) as kept,
-    list_filter(regexp_extract_all(orig_norm, '[一-鿿々]+|[ァ-ヴー]+|[a-z0-9]+'), lambda r: regexp_full_match(r, '[a-z0-9]{{3,}}') and not list_contains({words(pack.MATCH_STOP_LATIN)}, r)) as more
+    list_filter(regexp_extract_all(norm, '{RUNS_MATCH}'), lambda r: not list_contains({words(pack.MATCH_STOP)}, r)) as kept,
+    list_filter(regexp_extract_all(orig_norm, '{RUNS_MATCH}'), lambda r: regexp_full_match(r, '[a-z0-9]{{3,}}') and not list_contains({words(pack.MATCH_STOP_LATIN)}, r)) as more
   from normed
 ),
 classes as (
@@ -128,7 +129,7 @@ feats as (select c.*, list_concat(own_latin, coalesce(extra, [])) as latin from
 _BRIDGE = "list_filter([" + ", ".join(f"case when list_contains(other_set, '{a}') or regexp_matches(fold, '(^|[^ぁ-ん一-鿿々]){a}') then '{b}' end" for a, b in pack.KANA_BRIDGE) + "], lambda x: x is not null)"
 _CONTEXT = f"""
 dn as (select ord, {norm_key("meaning")} as norm from raw_entries where meaning is not null),
-df as (select ord, norm, {phrase_key("norm")} as fold, regexp_extract_all(norm, '[一-鿿々]+|[ァ-ヴー]+|[a-z0-9]+') as rs from dn),
+df as (select ord, norm, {phrase_key("norm")} as fold, regexp_extract_all(norm, '{RUNS_MATCH}') as rs from dn),
 ds as (
   select ord, fold, ' ' || trim(regexp_replace(norm, '[^\\pL\\pN]+', ' ', 'g')) || ' ' as pad, list_filter(rs, lambda r: regexp_full_match(r, '[一-鿿々]+')) as kr,
     list_distinct(list_transform(list_filter(rs, lambda r: regexp_full_match(r, '[ァ-ヴー]+')), lambda r: translate(r, '{_KATAKANA}', '{_HIRAGANA}'))) as other_set,
@@ -190,6 +191,11 @@ def _any(x: str, ws: tuple[str, ...]) -> str:
     return "(" + " or ".join(f"contains({x}, '{w}')" for w in ws) + ")"
 
 
+_UPSERT = f"""
+{_PAGES},
+added as (select * from (select {fold(clean("v[1]"))} as key, line_no as ord, {strip("coalesce(v[3], '')")} as meaning, {strip("coalesce(v[2], '')")} as alias from pages) where key <> '' and meaning <> ''),
+old as (select * from dream_terms where term_normalized is not null)"""
+
 SQL: dict[str, str] = {
     "merge_lexicon": f"with {_MERGED} select * from merged",
     "merge_meanings": f"with {_KEYED} select key as term_normalized, ord, md5(meaning) as text_md5, source.name as source_name from keyed qualify row_number() over (partition by key, mkey order by ord) = 1",
@@ -206,6 +212,17 @@ ms as (select key, {fold(clean("text"))} as m from om where text is not null uni
 ss as (select term_normalized as key, unnest(list_transform(sources, lambda s: s.name)) as name from old union select key, 'Crawled pages' from pk)
 select h.key as term_normalized, h.term, h.language, coalesce(mc, 0) as meaning_count, coalesce(sc, 0) as source_count, h.rank = 1 as is_new
 from h left join (select key, count(*) as mc from ms group by key) using (key) left join (select key, count(distinct name) as sc from ss group by key) using (key)""",
+    "upsert_meanings": f"""with {_UPSERT},
+m as (select term_normalized as key, 0 as rank, entry_id as ord, unnest(meanings) as m, unnest(range(len(meanings))) as pos from old),
+u as (select key, rank, ord, pos, m.text as text, m.source_name as source_name from m where m.text is not null union all select key, 1, ord, 0, meaning, 'Crawled pages' from added)
+select key as term_normalized, rank = 1 as is_new, ord, md5(text) as text_md5, source_name from u qualify row_number() over (partition by key, {fold(clean("text"))} order by rank, ord, pos) = 1""",
+    "upsert_sources": f"""with {_UPSERT},
+m as (select term_normalized as key, 0 as rank, entry_id as ord, unnest(sources) as s, unnest(range(len(sources))) as pos from old),
+u as (select key, rank, ord, pos, s.name as name, s.url as url from m where s.name is not null union all select key, 1, ord, 0, 'Crawled pages', 'https://pages.example' from added)
+select key as term_normalized, name, url, rank = 1 as is_new from u qualify row_number() over (partition by key, name order by rank, ord, pos) = 1""",
+    "upsert_aliases": f"""with {_UPSERT},
+u as (select term_normalized as key, unnest(aliases) as alias from old union select key, alias from added where alias <> '')
+select key as term_normalized, alias, {fold("alias")} as sort_key from u where alias is not null""",
     "lexicon_summary": f"with {_MERGED} select count(*) as entry_count, count(distinct language) as language_count, sum(meaning_count)::bigint as meaning_total from merged",
     "language_counts": f"with {_MERGED} select language, count(*) as entries from merged group by language",
     "source_count": "select count(distinct s.name) as source_count from (select unnest(sources) as s from dream_terms)",

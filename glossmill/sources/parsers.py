@@ -43,6 +43,7 @@ def marker_slice(text: Column, start: str | None = None, end: str | None = None,
 def is_heading(line: Column) -> Column:
     """An underscored heading of at most 80 characters with a final dot."""
     s = X.strip(line)
+    # The form of a heading.
     return F.length(s).between(1, 80) & ~F.startswith(s, F.lit("[")) & s.rlike(r"^_[^_\n]{1,80}_\.$")
 
 
@@ -125,6 +126,7 @@ def phrases(rows: DataFrame, key: Sequence[str], text: str = "text", skip: Seque
 
 
 #: Patterns of term-meaning pairs in running text; the meaning goes up to the next heading.
+# How the three books set term and meaning apart.
 DASH_PAIRS = r"(?ms)^\s*_([^_\n]{1,80})_[-—]+(.*?)(?=^\s*_[^_\n]{1,80}_[-—]+|\z)"
 EQUALS_PAIRS = r"(?ms)=([^=\n]{1,80})=\.?--(.*?)(?==[^=\n]{1,80}=\.?--|\z)"
 CAPITAL_PAIRS = r"(?ms)^([A-Z][A-Z' -]{1,60})\. (.*?)(?=^[A-Z][A-Z' -]{1,60}\. |\z)"
@@ -158,6 +160,7 @@ def pages(rows: DataFrame, slug: str = "slug", html: str = "html") -> DataFrame:
     head = F.regexp_extract(F.coalesce(html, F.lit("")), r"(?s)<h1[^>]*>(.*?)</h1>", 1)
     t = rows.select(slug, X.unescape(X.strip_tags(head)).alias("alias"), page_paragraphs(F.coalesce(html, F.lit(""))).alias("ps"))
     t = t.select(slug, X.clean_text(F.col("alias")).alias("alias"), F.transform("ps", X.clean_text).alias("ps")).where("alias <> '' and size(ps) > 0")
+    # Paragraph openings passed over, and the words around a heading's term.
     general = F.coalesce(F.get(F.filter("ps", lambda p: ~p.rlike(r"(?iu)^(dini|psikolojik)\b")), 0), F.get("ps", 0))
     term = X.strip(F.regexp_replace(X.strip(F.regexp_replace("alias", r"(?i)^r[uü]yada\s+", "")), r"(?i)\s+g[oö]rmek$", ""))
     return t.select(slug, term.alias("term"), "alias", F.substring(general, 1, 600).alias("meaning")).where("term <> ''")

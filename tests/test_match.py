@@ -17,13 +17,38 @@ def frames(spark, terms=TERMS, texts=TEXTS):
     return match.contexts(q, "ord"), match.lexicon_features(index)
 
 
+def nested_loop(ctx, features, key):
+    """The same by comparing every text with every row."""
+    j = ctx.crossJoin(features)
+    has = {
+        "kanji": lambda k: F.exists("kanji_runs", lambda r: F.contains(r, k)),
+        "other": lambda k: F.array_contains("other_set", k) | ((F.length(k) >= 3) & F.contains("fold", k)),
+        "latin": lambda k: F.array_contains("latin_set", k),
+    }
+    weight = {"kanji": lambda k: 20 * F.length(k) * F.length(k), "other": lambda k: 12 * F.length(k) * F.length(k), "latin": lambda k: 15 * F.length(k)}
+    add = lambda c, f: F.aggregate(F.transform(c, f), F.lit(0), lambda a, x: a + x)
+
+    def hit(c: str):
+        return add(c, lambda k: F.when(has[c](k), weight[c](k)).otherwise(0))
+
+    got = {c: hit(c) for c in has}
+    all_ = {c: add(c, weight[c]) for c in has}
+    phrase = F.when(F.col("latin_phrase").isNotNull(), (F.length("latin_phrase") >= 3) & F.contains("pad", F.concat(F.lit(" "), F.col("latin_phrase"), F.lit(" ")))).otherwise((F.length("phrase") >= 3) & F.contains("fold", F.col("phrase")))
+    j = j.select(key, "row_no", "term", F.length("phrase").alias("pl"), F.coalesce(phrase, F.lit(False)).alias("phrase_hit"), (got["kanji"] + got["other"]).alias("jg"), (all_["kanji"] + all_["other"]).alias("ja"), got["latin"].alias("lg"), all_["latin"].alias("la"))
+    full = (F.col("ja") > 0) & (F.col("jg") == F.col("ja"))
+    ja_ok = (F.col("ja") > 0) & (full | ((10 * F.col("jg") >= 6 * F.col("ja")) & (F.col("jg") >= 60)))
+    latin_ok = (F.col("la") > 0) & (10 * F.col("lg") >= 6 * F.col("la"))
+    score = F.when(F.col("phrase_hit"), 60 + 20 * F.col("pl")).otherwise(0) + F.when(ja_ok, F.col("jg")).otherwise(0) + F.when(latin_ok, F.col("lg")).otherwise(0) + F.when(full & (F.length("term") <= 2), 60).otherwise(0)
+    return j.where(F.col("phrase_hit") | ja_ok | latin_ok).select(key, "row_no", score.cast("bigint").alias("score"), "phrase_hit", full.alias("ja_full")).where("score > 0")
+
+
 def test_key_join_equals_nested_loop(spark):
     rng = random.Random(5)
     parts = ["犬", "黒", "海", "蛇", "アパ", "ート", "snake", "black", " ", "の", "い", "家", "水", "。", "へび", "ab"]
     terms = TERMS + ["".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(60)]
     texts = TEXTS + ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(60)]
     ctx, features = frames(spark, terms, texts)
-    a, b = match.match_candidates(ctx, features, "ord").collect(), match.nested_loop(ctx, features, "ord").collect()
+    a, b = match.match_candidates(ctx, features, "ord").collect(), nested_loop(ctx, features, "ord").collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) > 100
 
 
