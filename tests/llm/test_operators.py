@@ -215,17 +215,21 @@ def test_near_duplicates_against_all_pairs(spark):
 
 def test_near_duplicates_near_the_limit(spark):
     rng = random.Random(8)
-    rows, band = [], set()
+    rows, band, alike = [], set(), {}
     for k in range(400):
         a = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=900))
         spots = rng.sample(range(5, 895, 5), rng.randint(34, 46))
         b = "".join(rng.choice("0123456789") if i in spots else c for i, c in enumerate(a))
         rows += [(4 * k, 0, a), (4 * k + 2, 0, b)]
-        if 0.75 <= neardup.likeness(a, b) < 0.80:
+        alike[4 * k, 4 * k + 2] = neardup.likeness(a, b)
+        if 0.75 <= alike[4 * k, 4 * k + 2] < 0.80:
             band.add((4 * k, 4 * k + 2))
     got = {(r.a, r.b) for r in neardup.alike_pairs(spark.createDataFrame(rows, "node bigint, kind int, text string")).collect()}
     print(f"{len(got & band)} of {len(band)}")
     assert len(band) > 200 and len(got & band) >= 0.95 * len(band)
+    for least in (0.75, 0.77, 0.79):
+        part = {pair for pair, j in alike.items() if least <= j < least + 0.02}
+        assert len(part) > 20 and len(got & part) >= 0.9 * len(part), least
 
 
 def test_near_duplicates_of_any_written_form(spark):
@@ -351,3 +355,67 @@ def test_subjects_on_held_out_documents(spark):
     assert comp["faith"].documents == 0 and comp["law"].documents == sum("law" in g for g in got.values())
     nothing = subjects.fit(df, lab.limit(0))
     assert subjects.assign(df, nothing).count() == 0 and subjects.assign(df.limit(0), model).count() == 0
+
+
+def test_fitted_topics_part_what_their_starts_mix():
+    rng = random.Random(19)
+    true, size = 6, 15
+    bags = []
+    for _ in range(600):
+        mixed = rng.sample(range(true), 3)
+        bags.append(dict(Counter(rng.choice(mixed) * size + rng.randrange(size) for _ in range(40))))
+
+    def purity(lam):
+        top = np.argsort(-lam, axis=0)[:10] // size
+        return np.mean([np.bincount(top[:, j], minlength=true).max() / 10 for j in range(lam.shape[1])])
+
+    start, fitted = (subjects.topics(bags, true * size, 12, 3, rounds) for rounds in (0, subjects.ROUNDS))
+    assert purity(fitted) > purity(start) + 0.3
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
+    rng = random.Random(17)
+    items = [(k, " ".join(rng.choices(WORDS, k=20))) for k in range(12)]
+    docs = [(k, " ".join(rng.choices(WORDS, k=15)) + " " + items[k % 12][1][: 40 + 10 * (k % 9)] + " end") for k in range(60)]
+    df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    whole = sorted(map(tuple, leakage.leaks(df, it).collect()))
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 500)
+    monkeypatch.setattr(leakage, "_AT_ONCE", 7)
+    assert sorted(map(tuple, leakage.leaks(df, it).collect())) == whole and len(whole) > 10
+
+
+def test_hot_buckets_are_split(spark, monkeypatch):
+    rng = random.Random(23)
+    base = rng.choices("abcdefghijklmnopqrstuvwxyz", k=700)
+    rows = []
+    for k in range(40):
+        w = list(base)
+        w[10 * k : 10 * k + 5] = rng.choices("0123456789", k=5)
+        rows.append((k, 0, "".join(w)))
+    df = spark.createDataFrame(rows, "node bigint, kind int, text string")
+    whole = {(r.a, r.b) for r in neardup.alike_pairs(df).collect()}
+    monkeypatch.setattr(neardup, "SAMPLED", 1)
+    monkeypatch.setattr(neardup, "HOT", 10)
+    assert {(r.a, r.b) for r in neardup.alike_pairs(df).collect()} == whole and len(whole) == 40 * 39 // 2
+    monkeypatch.setattr(neardup, "MAX_SENT", 0)
+    assert {(r.a, r.b) for r in neardup.alike_pairs(df).collect()} == whole
+
+
+def test_hot_form_with_few_variants(spark):
+    rows = [(k, "file") for k in range(300)] + [(300, "ﬁle"), (301, "filе"), (302, "other"), (303, "other")]
+    forms = canonical.one_form(spark.createDataFrame(rows, "id bigint, text string"), ["id"])
+    got = {(r.id_a, r.id_b) for r in canonical.alike_pairs(forms.select("id", *canonical.print_columns()), "id").collect()}
+    assert got == {(a, b) for a in range(300) for b in (300, 301)} | {(300, 301)}
+
+
+def test_many_recurring_ends_and_long_texts(spark, monkeypatch):
+    rows = [(0, k, "s", f"A first sentence stands here. And a second one does.\nRead more {'abcdefghij'[k % 10]} now") for k in range(400)]
+    rows += [(0, 1000 + k, "s", "x" * (150_000 + 50 * (k % 2))) for k in range(20)]
+    df = spark.createDataFrame(rows, "kind int, id bigint, source string, text string")
+    closed = truncation.closings(df)
+    assert truncation._ends(closed).count() == 10
+    assert {k[3] for k in truncation._spikes(closed) if k[2] == "c"} >= {150_000, 150_050}
+    model = truncation.train(df)
+    sent = {(r.id, r.cut) for r in truncation.scored(df, model).collect()}
+    monkeypatch.setattr(truncation, "MAX_SENT", 0)
+    assert {(r.id, r.cut) for r in truncation.scored(df, model).collect()} == sent and not any(c for i, c in sent if i < 1000)
