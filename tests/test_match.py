@@ -137,3 +137,32 @@ def test_all_texts_are_read_whatever_their_label(spark, tmp_path):
     spark.createDataFrame([(1, "en", "old bridge", "石橋、古い橋")], "line_no bigint, lang string, text string, v string").write.parquet(str(tmp_path / "translation_cache.parquet"))
     assert sorted(r.ord for r in QUERIES["pair_insight"](spark, str(tmp_path)).collect()) == [1, 2, 3, 4, 5]
     assert sorted((r.ord, r.row_no) for r in QUERIES["match_candidates"](spark, str(tmp_path)).collect()) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1)]
+
+
+def test_blocks_and_shared_keys(spark):
+    rng = random.Random(6)
+    parts = ["犬", "黒", "海", "蛇", "アパ", "ート", "snake", "black", " ", "の", "い", "家", "水", "。", "へび", "ab"]
+    terms = TERMS + ["".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(40)]
+    texts = TEXTS + ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(40)]
+    ctx, features = frames(spark, terms, texts)
+    told = lambda df: sorted(map(tuple, df.select("ord", "row_no", "score", "place").collect()))
+    cand = nested_loop(ctx, features, "ord").cache()
+    for blocks in ({}, {"lines": 20}):
+        assert sorted(map(tuple, match.match_candidates(ctx, features, "ord", **blocks).collect())) == sorted(map(tuple, cand.collect()))
+        for apart in (True, False):
+            assert told(match.topk_of_texts(ctx, features, "ord", apart, **blocks)) == told(match.match_topk(cand, features, "ord"))
+            assert told(match.diverse_of_texts(ctx, features, "ord", apart, **blocks)) == told(match.match_diverse(cand, features, "ord"))
+    one = ctx.withColumn("ord", F.col("ord") * 0)  # one ranking for all texts of a key
+    assert [r.place for r in match.topk_of_texts(one, features, "ord").orderBy("place").collect()] == list(range(1, 13))
+
+
+def test_hits_of_rejected_pairs_are_no_rows(spark, tmp_path, capsys):
+    words = [f"w{k:03}x" for k in range(40)]
+    spark.createDataFrame([(k, "en", " ".join(words)) for k in range(5)] + [(9, "en", "w000x")], "ord bigint, language string, meaning string").write.parquet(str(tmp_path / "raw_entries.parquet"))
+    lines = [(k, "en", f"{words[k % 40]} " + " ".join(f"z{k}{j}y" for j in range(5)), "犬") for k in range(80)]
+    spark.createDataFrame(lines, "line_no bigint, lang string, text string, v string").write.parquet(str(tmp_path / "translation_cache.parquet"))
+    for name in ("match_candidates", "match_topk", "match_diverse"):
+        df = QUERIES[name](spark, str(tmp_path))
+        assert df.count() == 0
+        df.explain()
+        assert "Join" not in capsys.readouterr().out
