@@ -175,8 +175,11 @@ def reading_compose(texts: DataFrame, pool: DataFrame, ctx: DataFrame, key: str,
     lines = scores.where("rank <= 3").join(said, [key, "theme"], "left")
     lines = lines.select(key, "rank", "theme", fill(say.theme, theme=F.col("theme"), symbols=F.array_join(short, "・"), body=F.col("body"), advice=advice).alias("line"))
     themes = lines.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("themes"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("rank", "theme"))), 1, 2), lambda x: x["theme"]), " + ").alias("nouns"))
-    listed = lambda n, f: F.transform(F.slice(F.array_sort(F.collect_list(F.struct("place", "term", "meanings"))), 1, n), f)
-    tops = pool.groupBy(key).agg(listed(3, lambda x: x["term"]).alias("top"), listed(6, lambda x: x["term"]).alias("all"), listed(3, lambda x: F.get(x["meanings"], 0)).alias("firsts"))
+    # Only the first three meanings are read; the others are not moved.
+    firsts = F.collect_list(F.when(F.col("pool_place") <= 3, F.struct("place", F.get("meanings", 0).alias("m"))))
+    tops = pool.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("t"), F.array_sort(firsts).alias("m"))
+    listed = lambda c, n, f: F.transform(F.slice(c, 1, n), lambda x: x[f])
+    tops = tops.select(key, listed("t", 3, "term").alias("top"), listed("t", 6, "term").alias("all"), listed("m", 3, "m").alias("firsts"))
     j = texts.select(key, F.col(text).alias("__text")).join(tops, key, "left").join(tone_mood(pool, key), key, "left").join(themes, key, "left").join(ctx.select(key, "fold"), key, "left")
     j = j.withColumn("hay", F.concat(F.coalesce("fold", F.lit("")), F.coalesce(F.array_join("all", ""), F.lit(""))))
     j = j.join(pair_insight(j, key, "hay"), key)

@@ -5,7 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from glossmill.operators import history, interpret, match, search
+from glossmill.plans import bindings, catalogue
 from glossmill.plans.catalogue import QUERIES
+from glossmill.session import checkpointed
 
 TERMS = ["犬", "黒い犬", "蛇", "snake", "black snake", "アパート", "お金", "海で泳ぐ", "古い家", "the", "古い家の犬", "ab", "水水", "へび", "階段を登る"]
 TEXTS = ["黒い犬が海で泳いでいた。", "A black snake, and the dog!", "アパートの階段を登る夢", "いぬとヘビ", "", None, "!!", "浴びるいぬ", "snakes", "古い家に古い犬", "水水水と金"]
@@ -166,3 +168,25 @@ def test_hits_of_rejected_pairs_are_no_rows(spark, tmp_path, capsys):
         assert df.count() == 0
         df.explain()
         assert "Join" not in capsys.readouterr().out
+
+
+def test_items_join_lines_only(spark, tmp_path, capsys):
+    spark.createDataFrame([(1, "ja", "石橋を渡る"), (2, "ja", "石橋")], "ord bigint, language string, meaning string").write.parquet(str(tmp_path / "raw_entries.parquet"))
+    spark.createDataFrame([(1, "en", "old bridge", "石橋、お金の吉")], "line_no bigint, lang string, text string, v string").write.parquet(str(tmp_path / "translation_cache.parquet"))
+    for name in ("tone_digest", "theme_scores", "reading_pool", "tone_mood"):
+        df = QUERIES[name](spark, str(tmp_path))
+        assert sorted(r.ord for r in df.select("ord").distinct().collect()) == [1, 2]
+        df.explain()
+        plan = capsys.readouterr().out
+        assert plan.count("Join") == plan.count("BroadcastHashJoin") == 1
+
+
+def test_pools_are_kept_without_meanings(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "ja", "石橋を渡る"), (2, "ja", "石橋")], "ord bigint, language string, meaning string").write.parquet(str(tmp_path / "raw_entries.parquet"))
+    spark.createDataFrame([(1, "en", "old bridge", "石橋、お金の吉")], "line_no bigint, lang string, text string, v string").write.parquet(str(tmp_path / "translation_cache.parquet"))
+    kept = []
+    for module in (bindings, catalogue):
+        monkeypatch.setattr(module, "checkpointed", lambda df: kept.append(df.columns) or checkpointed(df))
+    for name in ("reading_compose", "theme_quotes"):
+        assert QUERIES[name](spark, str(tmp_path)).count() > 0
+    assert kept and not any("meanings" in c for c in kept)
