@@ -190,3 +190,28 @@ def test_pools_are_kept_without_meanings(spark, tmp_path, monkeypatch):
     for name in ("reading_compose", "theme_quotes"):
         assert QUERIES[name](spark, str(tmp_path)).count() > 0
     assert kept and not any("meanings" in c for c in kept)
+
+
+def test_pools_are_chosen_where_texts_are_met(spark, tmp_path, capsys):
+    terms = [*TERMS, *(f"犬{'長' * n}" for n in range(10, 20)), "水" + "い" * 14]
+    texts = [*TEXTS, "犬" + "長" * 19 + "、黒い犬", "水" + "い" * 14 + "犬" + "長" * 19, "古い家の犬と蛇と黒い犬が海で泳ぐお金の水水"]
+    ctx, features = frames(spark, terms, texts)
+    items = match.topk_of_texts(ctx, features, "ord", True).join(features.select("row_no", "term"), "row_no")
+    want = interpret.reading_pool(items, "ord").select("ord", "row_no", "place", "pool_place")
+    got = match.pool_of_texts(ctx, features, "ord")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.where("place <> pool_place").count() > 0
+    assert match.pool_of_texts(ctx, features, "ord", lines=3) is None and match.pool_of_texts(ctx, features.unionByName(features), "ord") is None
+    spark.createDataFrame([(1, "ja", "石橋を渡る"), (2, "ja", "石橋")], "ord bigint, language string, meaning string").write.parquet(str(tmp_path / "raw_entries.parquet"))
+    spark.createDataFrame([(1, "en", "old bridge", "石橋、お金の吉")], "line_no bigint, lang string, text string, v string").write.parquet(str(tmp_path / "translation_cache.parquet"))
+    QUERIES["tone_mood"](spark, str(tmp_path)).explain()
+    assert "Window" not in capsys.readouterr().out
+
+
+def test_first_lines_of_a_term_decide(spark):
+    terms, texts = ["蛇"] * 40 + ["black dog"] * 3 + ["黒い犬"], ["蛇と black dog", "蛇", "orig word 蛇と黒い犬"]
+    ctx, features = frames(spark, terms, texts)
+    told = lambda df: sorted(map(tuple, df.select("ord", "row_no", "score", "place").collect()))
+    cand = nested_loop(ctx, features, "ord").cache()
+    assert sorted(map(tuple, match.match_candidates(ctx, features, "ord").collect())) == sorted(map(tuple, cand.collect()))
+    assert told(match.topk_of_texts(ctx, features, "ord", True)) == told(match.match_topk(cand, features, "ord"))
+    assert told(match.diverse_of_texts(ctx, features, "ord", True)) == told(match.match_diverse(cand, features, "ord"))
