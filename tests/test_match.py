@@ -203,6 +203,7 @@ def test_pools_are_chosen_where_texts_are_met(spark, tmp_path, capsys):
     assert match.pool_of_texts(ctx, features, "ord", lines=3) is None and match.pool_of_texts(ctx, features.unionByName(features), "ord") is None
     spark.createDataFrame([(1, "ja", "石橋を渡る"), (2, "ja", "石橋")], "ord bigint, language string, meaning string").write.parquet(str(tmp_path / "raw_entries.parquet"))
     spark.createDataFrame([(1, "en", "old bridge", "石橋、お金の吉")], "line_no bigint, lang string, text string, v string").write.parquet(str(tmp_path / "translation_cache.parquet"))
+    QUERIES["reading_pool"](spark, str(tmp_path)).explain()
     QUERIES["tone_mood"](spark, str(tmp_path)).explain()
     assert "Window" not in capsys.readouterr().out
 
