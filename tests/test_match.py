@@ -216,3 +216,17 @@ def test_first_lines_of_a_term_decide(spark):
     assert sorted(map(tuple, match.match_candidates(ctx, features, "ord").collect())) == sorted(map(tuple, cand.collect()))
     assert told(match.topk_of_texts(ctx, features, "ord", True)) == told(match.match_topk(cand, features, "ord"))
     assert told(match.diverse_of_texts(ctx, features, "ord", True)) == told(match.match_diverse(cand, features, "ord"))
+
+
+def test_contexts_are_made_in_one_pass(spark, capsys):
+    texts = ["ＡＢ Ⅻ snake, snake's", "ヘビとカー・ヴ、いぬ。黒いぬ", "x\u3000y\x85z", "ΣΑΣ İß Straße a_b", "...", ""]
+    df = match.contexts(spark.createDataFrame(list(enumerate(texts)), "ord bigint, text string"), "ord")
+    got = {r[0]: tuple(r[1:]) for r in df.collect()}
+    assert got == {
+        0: ("abxiisnakesnakes", " ab xii snake snake s ", [], [], ["ab", "xii", "snake", "s"]),
+        1: ("へびとかーゔいぬ黒いぬ", " ヘビとカー ヴ いぬ 黒いぬ ", ["黒", "犬", "蛇"], ["へび", "かー", "ゔ"], []),
+        2: ("xyz", " x y z ", [], [], ["x", "y", "z"]),
+        3: ("σαςi̇ßstraßea_b", " σας i ß straße a b ", [], [], ["i", "stra", "e", "a", "b"]),
+    }
+    df.explain()
+    assert "Eval" not in capsys.readouterr().out
