@@ -5,33 +5,51 @@ cut's end, how the last words behave elsewhere: at sentence ends or inside, as w
 lengths at which unusually many texts of its kind stop. It is trained on intact values and on values cut on purpose: at
 those lengths, at byte limits, and anywhere. Intact values without their final stop are trained as intact.
 
-Training uses a bounded sample (about ``SAMPLE`` different texts, whole); every record is scored, and lengths and recurring
-last lines are counted over all records.
+All different texts are trained on, whole, in shards of about ``SHARD``: in each of ``ROUNDS`` rounds every shard goes on from
+the weights of the round before, and each weight becomes the mean of the shards', by how often they met its feature. Words and
+runs of words are counted over all different texts, lengths and recurring last lines over all records. Counts are kept by
+hash, in a fixed number of ``PLACES``, as weights are in ``DIM``: runs that share a place add up.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.session import checkpointed, spread
 
-SAMPLE = 12_000
+#: Different texts that are trained on in one task.
+SHARD = 50_000
+ROUNDS = 3
+#: Steps of a shard in a round, at least; examples of a step; passes over the shard, at least.
+STEPS = 60
+BATCH = 4096
+EPOCHS = 3
 DIM = 1 << 18
+PLACES = 1 << 24
+#: Weights and counts are summed up in so many parts.
+_PARTS = 64
 TAIL = 80
 #: Last lines (or whole texts) of at most this length that recur are known to be whole.
 END_CHARS = 60
 #: They are sent to all tasks up to this number; beyond it they are joined.
 MAX_SENT = 2_000_000
 _MARK = re.compile(r"\s*(\.\.\.+|…|\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|�+)$")
+_MARK_ENDS = ("...", "…", "]", ")", "）", "�")
 _STOP = ".!?。！？။"
+_INSIDE = re.compile(r"[.!?。！？။]\s*\S")
+_SENTENCE = re.compile(r"([^.!?。！？။\n]+)[.!?。！？။]")
+_WORDS = re.compile(r"[^\W_]+")
 _CLOSERS = "\"'”’»)]」』）"
 _SPACELESS = re.compile(r"[㐀-鿿぀-ヿက-႟]")
 #: Two or more ``label: value`` fields: such a text ends without a stop.
@@ -42,58 +60,148 @@ _fields = re.compile(_FIELDS)
 def _split_mark(text: str) -> tuple[str, str]:
     """The text without what was put at its end, and the kind of that mark ('' for none)."""
     text = text.rstrip()
-    m = _MARK.search(text)
+    m = _MARK.search(text) if text.endswith(_MARK_ENDS) else None
     return (text[: m.start()].rstrip(), m[1][0] + m[1][-1]) if m else (text, "")
 
 
 def _units(s: str) -> list[str]:
     """Words, or single characters in scripts without blanks."""
     s = s.lower()
-    return [c for c in s if not c.isspace()] if _SPACELESS.search(s) else re.findall(r"[^\W_]+", s)
+    return [c for c in s if not c.isspace()] if not s.isascii() and _SPACELESS.search(s) else _WORDS.findall(s)
 
 
-class Statistics:
-    """How words behave inside the sample's whole sentences."""
+class _Codes(dict):
+    """A word's code, kept."""
 
-    def __init__(self) -> None:
-        self.whole, self.final, self.inner = Counter(), Counter(), Counter()
+    def __missing__(self, word: str) -> int:
+        self[word] = code = crc32(word.encode("utf-8", "surrogatepass"))
+        return code
+
+
+_code = _Codes()
+_STEP = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+_SALT, _MIX, _ALL = 0xA24BAED4963EE407, 0x94D049BB133111EB, (1 << 64) - 1
 
-    def learn(self, text: str) -> None:
-        for sentence in re.split(r"(?<=[.!?。！？။])\s*|\n", text):
-            if not sentence or sentence[-1] not in _STOP:
-                continue
-            u = _units(sentence[:-1])
-            self.whole.update(u)
-            for n in (1, 2, 3, 4):
-                if len(u) >= n:
-                    self.final[zlib.crc32("".join(u[-n:]).encode()) * 8 + n] += 1
-                for k in range(n, len(u)):
-                    self.inner[zlib.crc32("".join(u[k - n : k]).encode()) * 8 + n] += 1
 
-    def trim(self) -> None:
-        """Keep what was seen more than once; the sample bounds it."""
-        for c in ("whole", "final", "inner"):
-            setattr(self, c, {k: v for k, v in getattr(self, c).items() if v > 1})
+def _places(words: list[str]) -> list[int]:
+    """Where the last word by itself and the last 1 to 4 words, one run each, are counted; -1 where there are not as many words."""
+    out, h = [-1] * 5, 0
+    for n, w in enumerate(words[:-5:-1], 1):
+        h = (h + _code[w] * _STEP[n - 1]) & _ALL
+        x = (h + n * _SALT) & _ALL
+        out[n] = (((x ^ (x >> 29)) * _MIX) & _ALL) >> 40
+        if n == 1:
+            out[0] = (((h ^ (h >> 29)) * _MIX) & _ALL) >> 40
+    return out
 
 
-def _scale(n: float) -> int:
-    return int(np.log2(n + 1))
+class Counts:
+    """How words behave inside the whole sentences of one task's texts: ``final`` at their ends, ``inner`` inside (and single words anywhere)."""
+
+    def __init__(self) -> None:
+        self.final, self.inner = np.zeros(PLACES, np.uint32), np.zeros(PLACES, np.uint32)
+        self.codes: list[int] = []
+        self.sizes: list[int] = []
+
+    def learn(self, text: str) -> None:
+        for sentence in _SENTENCE.findall(text):
+            u = _units(sentence)
+            if u:
+                self.codes += map(_code.__getitem__, u)
+                self.sizes.append(len(u))
+        if len(self.codes) > 500_000:
+            self.add_up()
+
+    def add_up(self) -> None:
+        if len(_code) > 1_000_000:
+            _code.clear()
+        if not self.codes:
+            return
+        c, sizes = np.array(self.codes, np.uint64), np.array(self.sizes, np.int64)
+        self.codes, self.sizes = [], []
+        end = np.cumsum(sizes)
+        at = np.arange(len(c)) - np.repeat(end - sizes, sizes)
+        last = np.zeros(len(c), bool)
+        last[end - 1] = True
+        h = np.zeros(len(c), np.uint64)
+        place = lambda x: (((x ^ (x >> np.uint64(29))) * np.uint64(_MIX)) >> np.uint64(40)).astype(np.int64)
+        for n in (1, 2, 3, 4):
+            h[n - 1 :] += c[: len(c) - n + 1] * np.uint64(_STEP[n - 1])
+            if n == 1:
+                np.add.at(self.inner, place(h), np.uint32(1))
+            x, full = place(h + np.uint64(n * _SALT & _ALL)), at >= n - 1
+            np.add.at(self.final, x[full & last], np.uint32(1))
+            np.add.at(self.inner, x[full & ~last], np.uint32(1))
+
+    def parts(self) -> Iterator[tuple[int, bytes]]:
+        """What was counted, by part."""
+        self.add_up()
+        size = PLACES // _PARTS
+        for k in range(_PARTS):
+            each = []
+            for counts in (self.final, self.inner):
+                own = counts[k * size : (k + 1) * size]
+                held = np.flatnonzero(own)
+                each += [np.diff(held, prepend=0).astype(np.uint32), own[held]]
+            yield k, zlib.compress(pickle.dumps(each), 1)
+
+
+def _summed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The scales of one part of the places, over all tasks: 0 for what was seen once or never."""
+    size = PLACES // _PARTS
+    total = np.zeros((2, size), np.int64)
+    for data in pdf["data"]:
+        final_at, final_n, inner_at, inner_n = pickle.loads(zlib.decompress(data))
+        total[0, np.cumsum(final_at, dtype=np.int64)] += final_n
+        total[1, np.cumsum(inner_at, dtype=np.int64)] += inner_n
+    scale = np.where(total > 1, np.log2(total + 1), 0).astype(np.uint8)
+    return pd.DataFrame({"part": [key[0]], "data": [zlib.compress(scale.tobytes(), 1)]})
+
+
+def _scale(n: int) -> int:
+    return int(n + 1).bit_length() - 1
+
+
+def _slot(feature: str) -> int:
+    return crc32(feature.encode("utf-8", "surrogatepass")) % DIM
+
+
+#: Slots of what counts tell, by script: of a word's scale, of a run's two scales, of the longest run known at ends.
+_WORD = np.array([[_slot(f"w{s}{a}") for a in range(40)] for s in "ln"])
+_RUN = np.array([[[[_slot(f"f{s}{n}{a}:{b}") for b in range(40)] for a in range(40)] for n in range(1, 5)] for s in "ln"])
+_BEST = np.array([[_slot(f"b{s}{n}") for n in range(5)] for s in "ln"])
+
+
+def _counted(places: np.ndarray, script: np.ndarray, final: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Six slots a row of what counts tell; DIM for none. ``script`` is -1 for texts that end in a stop, of which they tell nothing."""
+    out = np.full((len(script), 6), DIM, np.int64)
+    open_ = np.flatnonzero(script >= 0)
+    p, s = places[open_], script[open_].astype(np.int64)
+    f, g = final[p], inner[p]  # of place -1 anything: not read
+    out[open_, 0] = _WORD[s, np.where(p[:, 0] >= 0, g[:, 0], 0)]
+    best = np.zeros(len(open_), np.int64)
+    for n in (1, 2, 3, 4):
+        there = p[:, n] >= 0
+        out[open_, n] = np.where(there, _RUN[s, n - 1, f[:, n], g[:, n]], DIM)
+        best[there & (f[:, n] > 0)] = n
+    out[open_, 5] = _BEST[s, best]
+    return out
 
 
-def features(tail: str, chars: int, bytes_: int, inner: bool, fields: bool, known: bool, spikes: dict, kind: int, stats: Statistics) -> list[int]:
-    """Hashed features of one text. ``tail`` is its end (up to TAIL characters), ``inner`` whether a sentence ends before it,
+def features(tail: str, chars: int, bytes_: int, inner: bool, fields: bool, known: bool, spikes: dict, kind: int) -> tuple[list[int], list[int], int]:
+    """Slots of one text's features, places of its last words' counts, and its script (1 without blanks, 0 other, -1: ends in a stop). ``tail`` is its end (up to TAIL characters), ``inner`` whether a sentence ends before it,
     ``fields`` whether the text is made of labelled fields, ``known`` whether its last line recurs."""
     body, mark = _split_mark(tail)
     cut_off = len(tail.rstrip()) - len(body)
     out = [f"m{mark}", f"F{fields}{bool(mark)}"]
     closed = body.rstrip(_CLOSERS)
     if not mark and closed and closed[-1] in _STOP:
-        return [zlib.crc32(f"stop{closed[-1]}".encode()) % DIM, zlib.crc32(b"stop") % DIM]
+        return [_slot(f"stop{closed[-1]}"), _slot("stop")], _NOWHERE, -1
     stopped = bool(closed) and closed[-1] in _STOP
     s = closed.rstrip(_STOP) if stopped else body
     out.append(f"s{stopped}{bool(mark)}")
     low = s.lower()
-    script = "n" if _SPACELESS.search(low[-12:]) else "l"
+    script = "n" if not low.isascii() and _SPACELESS.search(low[-12:]) else "l"
     last = low[-1:] or " "
     out += [f"c{script}", f"k{last if not last.isalnum() else 'd' if last.isdigit() else 'a'}"]
     if last.isdigit():
@@ -102,21 +210,14 @@ def features(tail: str, chars: int, bytes_: int, inner: bool, fields: bool, know
     out += [f"e{low[-n:]}" for n in (1, 2, 3, 4, 6, 8, 11, 15, 20, 30) if len(low) >= n]
     out += [f"L{line}", f"n{bool(line)}", f"K{known}{bool(mark)}"]
     u = _units(low)
-    seen = stats.whole.get(u[-1], 0) if u else 0
-    out.append(f"w{script}{_scale(seen)}")
-    best = 0
-    for n in (1, 2, 3, 4):
-        if len(u) >= n:
-            key = zlib.crc32("".join(u[-n:]).encode()) * 8 + n
-            f, g = stats.final.get(key, 0), stats.inner.get(key, 0)
-            out.append(f"f{script}{n}{_scale(f)}{_scale(g)}")
-            if f:
-                best = n
-    out += [f"b{script}{best}", f"u{script}{inner}{_scale(chars)}"]
+    out.append(f"u{script}{inner}{_scale(chars)}")
     key = (kind, script)
     near = [spikes.get((*key, "c", chars - cut_off), 0), spikes.get((*key, "c", chars), 0), spikes.get((*key, "b", bytes_ - cut_off), 0), spikes.get((*key, "b", bytes_), 0)]
     out.append(f"p{max(near)}{bool(mark)}")
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % DIM for x in out]
+    return [crc32(x.encode("utf-8", "surrogatepass")) % DIM for x in out], _places(u), int(script == "n")
+
+
+_NOWHERE = [-1] * 5
 
 
 def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,35 +225,114 @@ def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((x for r in rows for x in r), np.int64, int(lengths.sum())), np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
 
 
-def _fit(rows: list[list[int]], y: np.ndarray, weight: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """L2-regularised logistic regression by full-batch AdaGrad."""
-    index, begin = _flat(rows)
-    owner = np.repeat(np.arange(len(rows)), np.diff(np.append(begin, len(index))))
-    w, g2 = np.zeros(DIM), np.full(DIM, 1e-4)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.add.reduceat(w[index], begin)))
-        g = np.bincount(index, ((p - y) * weight)[owner], DIM) / len(rows) + 2e-6 * w
-        g2 += g * g
-        w -= 0.35 * g / np.sqrt(g2)
-    return w
+class _Block:
+    """Examples: slots (flat), where each one's begin, places and script for counts, label (0 whole, 1 cut, 2 not known) and weight."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[list[int], list[int], int]] = []
+        self.y: list[int] = []
+        self.weight: list[int] = []
+
+    def add(self, row: tuple[list[int], list[int], int], y: int, weight: int = 1) -> None:
+        self.rows.append(row)
+        self.y.append(y)
+        self.weight.append(weight)
+
+    def packed(self) -> bytes:
+        index, begin = _flat([r[0] for r in self.rows])
+        places = np.array([r[1] for r in self.rows], np.int32).reshape(-1, 5)
+        return pickle.dumps((index.astype(np.int32), begin.astype(np.int32), places, np.array([r[2] for r in self.rows], np.int8), np.array(self.y, np.int8), np.array(self.weight, np.float32)))
+
+
+def _logits(w: np.ndarray, index: np.ndarray, begin: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """``w`` has a last slot of 0."""
+    return np.add.reduceat(w[index], begin) + w[counted].sum(1) if len(begin) else np.zeros(0)
+
+
+def _trained(blocks: list[tuple], counts: tuple[np.ndarray, np.ndarray], w: np.ndarray, g2: np.ndarray, first: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, squared gradients and how often each slot was met after a shard's steps of L2-regularised AdaGrad. ``first``: the weights by which
+    texts of unknown state join the whole (under 0.35) or the cut ones (over 0.8); without it they take no part."""
+    batches = []
+    for index, begin, places, script, y, weight in blocks:
+        counted, y = _counted(places, script, *counts), y.astype(float)
+        unknown = y == 2
+        if first is not None and unknown.any():
+            p = 1 / (1 + np.exp(-_logits(first, index, begin, counted)))
+            y[unknown & (p < 0.35)], y[unknown & (p > 0.8)] = 0, 1
+        end = np.append(begin[1:], len(index))
+        for k in range(0, len(begin), BATCH):
+            kept = np.flatnonzero(y[k : k + BATCH] < 2) + k
+            if len(kept):
+                sizes = (end - begin)[kept]
+                owner = np.repeat(np.arange(len(kept)), sizes)
+                stop = np.cumsum(sizes)
+                at = np.repeat(begin[kept] - stop + sizes, sizes) + np.arange(stop[-1])
+                batches.append((index[at], stop - sizes, owner, counted[kept], y[kept], weight[kept]))
+    met = np.zeros(DIM + 1)
+    for index, _, _, counted, _, _ in batches:
+        met += np.bincount(index, minlength=DIM + 1) + np.bincount(counted.ravel(), minlength=DIM + 1)
+    w, g2 = w.copy(), g2.copy()
+    for _ in range(max(EPOCHS, -(-STEPS // max(len(batches), 1))) if batches else 0):
+        for index, begin, owner, counted, y, weight in batches:
+            off = (1 / (1 + np.exp(-_logits(w, index, begin, counted))) - y) * weight / len(y)
+            g = np.bincount(index, off[owner], DIM + 1) + np.bincount(counted.ravel(), np.repeat(off, 6), DIM + 1) + 2e-6 * w
+            g2 += g * g
+            w -= 0.35 * g / np.sqrt(g2)
+            w[DIM] = 0
+    return w, g2, met
+
+
+def _mean(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """One part of the weights and squared gradients: the shards' mean, by how often they met the slots; what none met stays."""
+    w, g2, met = 0, 0, 0
+    for data in pdf.sort_values("shard")["data"]:
+        own = np.frombuffer(zlib.decompress(data), np.float32).reshape(3, -1).astype(float)
+        w, g2, met = w + own[0] * (own[2] + 1e-6), g2 + own[1] * (own[2] + 1e-6), met + own[2] + 1e-6
+    return pd.DataFrame({"part": [key[0]], "data": [np.stack([w / met, g2 / met]).tobytes()]})
+
+
+def _round(examples: DataFrame, counts: object, w: np.ndarray, g2: np.ndarray, first: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """All shards once."""
+    held = examples.sparkSession.sparkContext.broadcast((w, g2, first))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocks = [pickle.loads(x) for pdf in batches for x in pdf["data"]]
+        if not blocks:
+            return
+        own = [x[:DIM].reshape(_PARTS, -1) for x in _trained(blocks, _tables(counts.value), *held.value)]
+        data = [zlib.compress(np.stack([x[k] for x in own]).astype(np.float32).tobytes(), 1) for k in range(_PARTS)]
+        yield pd.DataFrame({"part": range(_PARTS), "shard": TaskContext.get().partitionId(), "data": data})
+
+    rows = examples.where("what = 'x'").select("data").mapInPandas(run, "part int, shard int, data binary").groupBy("part").applyInPandas(_mean, "part int, data binary").toPandas().sort_values("part")
+    if rows.empty:
+        return w, g2
+    both = np.concatenate([np.frombuffer(x).reshape(2, -1) for x in rows["data"]], axis=1)
+    held.unpersist()
+    return np.append(both[0], 0), np.append(both[1], 1e-4)
+
+
+def _tables(counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Scales at ends and inside, by place."""
+    return np.frombuffer(counts, np.uint8, PLACES), np.frombuffer(counts, np.uint8, PLACES, PLACES)
 
 
 class Model:
-    """Weights, word statistics of the sample, length spikes, and the table of recurring last lines."""
+    """Weights, scales of counts, length spikes, and the table of recurring last lines."""
 
-    def __init__(self, weights: np.ndarray, stats: Statistics, spikes: dict, ends: DataFrame):
-        self.weights, self.stats, self.spikes, self.ends = weights.astype(np.float32), stats, spikes, ends
+    def __init__(self, weights: np.ndarray, counts: bytes, spikes: dict, ends: DataFrame):
+        self.weights, self.counts, self.spikes, self.ends = weights, counts, spikes, ends
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "ends"}
 
     def score(self, pdf: pd.DataFrame) -> np.ndarray:
         columns = (pdf[c] for c in ("tail", "chars", "bytes", "inner", "fields", "known", "kind"))
-        rows = [features(t, c, b, i, f, e, self.spikes, k, self.stats) for t, c, b, i, f, e, k in zip(*columns, strict=True)]
+        rows = [features(t, c, b, i, f, e, self.spikes, k) for t, c, b, i, f, e, k in zip(*columns, strict=True)]
         if not rows:
             return np.zeros(0)
-        index, begin = _flat(rows)
-        return 1 / (1 + np.exp(-np.add.reduceat(self.weights[index].astype(float), begin)))
+        index, begin = _flat([r[0] for r in rows])
+        counted = _counted(np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows], np.int8), *_tables(self.counts))
+        return 1 / (1 + np.exp(-_logits(self.weights, index, begin, counted)))
 
 
 def closings(texts: DataFrame) -> DataFrame:
@@ -201,79 +381,88 @@ def _with_known(closed: DataFrame, ends: DataFrame) -> DataFrame:
     return joined.withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def train(texts: DataFrame, sample: int = SAMPLE, seed: int = 11) -> Model:
-    """Fit on about ``sample`` different texts, chosen by a hash of their wording. ``texts`` has ``kind`` (int), ``source`` and ``text``."""
-    closed = closings(texts.select("kind", "source", "text"))
-    spikes = _spikes(closed)
-    n = texts.count()
-    part = F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFF)) / float(0x1000000)
-    ends = _ends(closed)
-    rows = _with_known(closed.where(part < sample / max(n, 1)), ends).groupBy("kind", "text").agg(F.max("known").alias("known")).sort("kind", "text").collect()
-    rng = np.random.default_rng(seed)
-    stats = Statistics()
-    for r in rows:
-        stats.learn(r[1])
-    stats.trim()
-    if not rows:
-        return Model(np.zeros(DIM), stats, spikes, ends)
-
-    def of(text: str, kind: int, known: bool = False) -> list[int]:
+def _examples(spikes: dict, seed: int) -> Callable:
+    """Of each text, by task: examples (``what`` x, as they come) and counts (c, by part at the end)."""
+    limits = defaultdict(list)
+    for kind, script, unit, length in sorted(spikes):
+        if unit == "c":
+            limits[kind, script].append(length)
+
+    def of(text: str, kind: int, known: bool = False) -> tuple[list[int], list[int], int]:
         t = text.rstrip()
-        return features(t[-TAIL:], len(t), len(t.encode("utf-8", "surrogatepass")), bool(re.search(r"[.!?。！？။]\s*\S", text)), bool(_fields.search(text)), known, spikes, kind, stats)
+        return features(t[-TAIL:], len(t), len(t.encode("utf-8", "surrogatepass")), bool(_INSIDE.search(t)), bool(_fields.search(t)), known, spikes, kind)
 
-    xs, ys, heavy, open_rows = [], [], [], []
-    limits = {k: [x for x in spikes if x[0] == k] for k in {r[0] for r in rows}}
-    for kind, text, known in rows:
+    def examples(kind: int, text: str, known: bool, out: _Block, rng: np.random.Generator) -> None:
         t = text.rstrip()
         body, mark = _split_mark(t)
         closed_body = body.rstrip(_CLOSERS)
         whole = not mark and closed_body and closed_body[-1] in _STOP
         if whole:
-            xs.append(of(t, kind, known))
-            ys.append(0)
-            xs.append(of(closed_body.rstrip(_STOP), kind))
-            ys.append(0)
-        else:
-            sure = not mark and (_fields.search(t) or known or re.search(r"[.。]\s*\d+, ?\d+$", t) or (len(body) < 45 and not re.search(r"[.!?。！？။]", body)))
-            (xs if sure else open_rows).append(of(t, kind, known))
-            if sure:
-                heavy.append((len(ys), 12 if _fields.search(t) or not re.search(r"[.!?。！？။]\s*\S", t) else 3))
-                ys.append(0)
-            elif mark:
-                open_rows.pop()
-        if (whole or (not mark and len(t) > 60)) and len(t) > 12:
-            for _ in range(2 if whole else 0):
-                script = "n" if _SPACELESS.search(t[-12:]) else "l"
-                fitting = [x for x in limits[kind] if x[1] == script and x[2] == "c" and x[3] < len(t) - 1]
-                if fitting and rng.random() < 0.5:
-                    at = fitting[rng.integers(len(fitting))][3]
-                else:
-                    least = max(20 if script == "n" else 40, len(t) // 8)
-                    if least >= len(t) - 1:
-                        continue
-                    at = int(rng.integers(least, len(t) - 1))
-                piece = t[:at].rstrip()
-                if not piece or piece[-1] in _STOP + _CLOSERS or piece == closed_body.rstrip(_STOP):
+            out.add(of(t, kind, known), 0)
+            out.add(of(closed_body.rstrip(_STOP), kind), 0)
+        elif not mark:
+            fields = _fields.search(t)
+            if fields or known or re.search(r"[.。]\s*\d+, ?\d+$", t) or (len(body) < 45 and not re.search(r"[.!?。！？။]", body)):
+                # Whole values that end in no stop are few: they weigh more.
+                out.add(of(t, kind, known), 0, 12 if fields or not _INSIDE.search(t) else 3)
+            else:
+                out.add(of(t, kind, known), 2)
+        for _ in range(2 if whole and len(t) > 12 else 0):
+            script = "n" if _SPACELESS.search(t[-12:]) else "l"
+            fitting = [x for x in limits[kind, script] if x < len(t) - 1]
+            if fitting and rng.random() < 0.5:
+                at = fitting[rng.integers(len(fitting))]
+            else:
+                least = max(20 if script == "n" else 40, len(t) // 8)
+                if least >= len(t) - 1:
                     continue
-                style = rng.random()
-                if style < 0.3:
-                    piece += ("…", "...", " …", " [...]", " ...", "[…]", "�")[rng.integers(7)]
-                xs.append(of(piece, kind))
-                ys.append(1)
-    y = np.array(ys, float)
-    # Whole values that end in no stop are few: they weigh more.
-    weight = np.ones(len(xs))
-    for k, more in heavy:
-        weight[k] = more
-    w = _fit(xs, y, weight)
-    if open_rows:
-        # Unstopped texts of unknown state: those that the first fit takes for whole join the whole ones.
-        index, begin = _flat(open_rows)
-        p = 1 / (1 + np.exp(-np.add.reduceat(w[index], begin)))
-        more = [r for r, q in zip(open_rows, p, strict=True) if q < 0.35]
-        likely = [r for r, q in zip(open_rows, p, strict=True) if q > 0.8]
-        w = _fit(xs + more + likely, np.concatenate([y, np.zeros(len(more)), np.ones(len(likely))]), np.concatenate([weight, np.ones(len(more) + len(likely))]))
-    return Model(w, stats, spikes, ends)
+                at = int(rng.integers(least, len(t) - 1))
+            piece = t[:at].rstrip()
+            if not piece or piece[-1] in _STOP + _CLOSERS or piece == closed_body.rstrip(_STOP):
+                continue
+            style = rng.random()
+            if style < 0.3:
+                piece += ("…", "...", " …", " [...]", " ...", "[…]", "�")[rng.integers(7)]
+            out.add(of(piece, kind), 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, rng = None, np.random.default_rng([seed, TaskContext.get().partitionId()])
+        for pdf in batches:
+            counts, out = counts or Counts(), _Block()
+            for kind, text, known in zip(pdf["kind"], pdf["text"], pdf["known"], strict=True):
+                counts.learn(text)
+                examples(kind, text, known, out, rng)
+            if out.rows:
+                yield pd.DataFrame({"what": ["x"], "part": [0], "data": [out.packed()]})
+        if counts:
+            parts = list(counts.parts())
+            yield pd.DataFrame({"what": "c", "part": [k for k, _ in parts], "data": [x for _, x in parts]})
+
+    return run
+
+
+def train(texts: DataFrame, sample: int | None = None, seed: int = 11) -> Model:
+    """Fit on all different texts, or on about ``sample`` of them, chosen by a hash of their wording, if asked to. ``texts`` has ``kind`` (int), ``source`` and ``text``."""
+    closed = closings(texts.select("kind", "source", "text"))
+    spikes = _spikes(closed)
+    n = texts.count()
+    ends = _ends(closed)
+    if sample is not None:
+        closed = closed.where(F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFF)) / float(0x1000000) < sample / max(n, 1))
+    shards = max(1, -(-min(n, sample or n) // SHARD))
+    different = _with_known(closed, ends).select("kind", "text", "known").repartition(shards, "text").groupBy("kind", "text").agg(F.max("known").alias("known"))
+    mixed = different.sortWithinPartitions(F.xxhash64("kind", "text"), "kind", "text")
+    examples = checkpointed(mixed.mapInPandas(_examples(spikes, seed), "what string, part int, data binary"))
+    summed = examples.where("what = 'c'").groupBy("part").applyInPandas(_summed, "part int, data binary").toPandas().sort_values("part")
+    scales = [np.frombuffer(zlib.decompress(x), np.uint8).reshape(2, -1) for x in summed["data"]]
+    counts = np.concatenate(scales, axis=1).tobytes() if scales else bytes(2 * PLACES)
+    held = texts.sparkSession.sparkContext.broadcast(counts)
+    w, g2, first = np.zeros(DIM + 1), np.full(DIM + 1, 1e-4), None
+    for k in range(ROUNDS):
+        w, g2 = _round(examples, held, w, g2, first)
+        first = w if k == 0 else first
+    held.unpersist()
+    return Model(w, counts, spikes, ends)
 
 
 def scored(texts: DataFrame, model: Model) -> DataFrame:

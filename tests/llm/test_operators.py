@@ -167,6 +167,24 @@ def test_truncation_on_held_out_texts(spark):
     assert truncation.scored(df.limit(0), model).count() == 0 and truncation.scored(df, truncation.train(df.limit(0))).count() > 0
 
 
+def test_truncation_counts_and_fits_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(truncation, "SHARD", 5000)
+    rng = random.Random(6)
+    rows, truth = [], set()
+    for k in range(14_000):
+        t = f"Seen {rng.choice(WORDS)} {k} at night, the {rng.choice(WORDS)} warns of {rng.choice(WORDS)} and {rng.choice(WORDS)} within a year."
+        if k % 6 == 0:
+            t, _ = t[: rng.randint(45, len(t) - 12)].rstrip(), truth.add(k)
+        rows.append((0, k, "s", t + " All ends in a hapax." * (k in (7001, 7003))))
+    df = spark.createDataFrame(rows + rows[:3000], "kind int, id bigint, source string, text string")
+    model = truncation.train(df)
+    final, inner = truncation._tables(model.counts)
+    assert final[truncation._places(["hapax"])[1]] == 1 and final[truncation._places(["year"])[1]] == 13
+    assert inner[truncation._places("warns of".split())[2]] == 13 and final[truncation._places("a hapax".split())[2]] == 1
+    cut = {r.id for r in truncation.scored(df, model).where("cut").collect()}
+    assert len(cut & truth) > 0.95 * len(truth) and len(cut & truth) > 0.95 * len(cut)
+
+
 # Problem 5
 
 
