@@ -375,6 +375,28 @@ def test_subjects_on_held_out_documents(spark):
     assert subjects.assign(df, nothing).count() == 0 and subjects.assign(df.limit(0), model).count() == 0
 
 
+def test_subjects_are_fitted_on_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "MAX_FIT", 120)
+    monkeypatch.setattr(subjects, "MAX_PARTING", 60)
+    rng = random.Random(10)
+    own = {"law": [f"law{a}{b}" for a in "bcdfgh" for b in "klmnp"], "sport": [f"sport{a}{b}" for a in "bcdfgh" for b in "klmnp"]}
+    docs, labels, truth = [], [], {}
+    for k in range(800):
+        s = rng.choice([*own, "none"])
+        parts = [sentence(rng) for _ in range(3)] + ["Notes put " + " and ".join(rng.sample(own[s], 3)) + " here." for _ in range(3) if s != "none"]
+        docs.append((k, " ".join(parts)))
+        truth[k] = {s} - {"none"}
+        labels.append((k, s))
+    df, lab = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels[:500], "doc_id bigint, subject string")
+    model = subjects.fit(df, lab)
+    assert {*own["law"], *own["sport"]} <= set(model.vocabulary)
+    got = defaultdict(set)
+    for r in subjects.assign(df, model).collect():
+        got[r.doc_id].add(r.subject)
+    assert sum(got[k] == truth[k] for k in range(500, 800)) >= 0.95 * 300
+    assert {t: n for t, n, _ in subjects._counted_terms(df, 800)}[own["law"][0]] == sum(own["law"][0] in x for _, d in docs for x in d.split("."))
+
+
 def test_fitted_topics_part_what_their_starts_mix():
     rng = random.Random(19)
     true, size = 6, 15
