@@ -11,7 +11,8 @@ any that differ in at most 3 x GROUPS - 1 coordinates in all (17 of 84) do, wher
 whenever they fall into the six of one mask.
 
 Bucket rows carry 128 further min-hash bits, by which pairs that meet are compared in the join; those that agree three
-standard deviations less than texts at the limit do are dropped, the others are verified exactly. A bucket that a sample
+standard deviations less than texts at the limit do are dropped. The others are compared by all coordinates of their sketches
+(four standard deviations), since chance meetings grow with the square of the rows, and what is left is verified exactly. A bucket that a sample
 shows to be hot is split into blocks that meet pair by pair, so that no task holds it whole; buckets have no size cap.
 
 Texts that differ only in case, white space or punctuation form one fold; links are made between written forms (white
@@ -155,6 +156,23 @@ def _meetings(sketched: DataFrame, least: float) -> DataFrame:
     return met.select(F.col("x.s1").alias("a1"), F.col("x.s2").alias("a2"), F.col("y.s1").alias("b1"), F.col("y.s2").alias("b2")).distinct()
 
 
+def _resembling(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """``pairs`` (``a``, ``b``: nodes of texts that share a bucket) whose sketches agree in no fewer coordinates than four standard deviations
+    under what texts at the limit do. The coordinates that a mask keeps agree in any case."""
+    kept, agree = (VECTORS + 1) // 2 * PER_VECTOR, least + (1 - least) / 256
+    floor = kept + (_SPOTS - kept) * agree - 4 * ((_SPOTS - kept) * agree * (1 - agree)) ** 0.5
+    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    picked = prints.join(F.broadcast(wanted) if wanted.count() <= MAX_SENT else wanted, "node", "left_semi")
+    end = lambda x: picked.select(F.col("node").alias(x), *[F.col(c).alias(x + c) for c in _LONGS])
+    # A long holds 7 coordinates of a byte. One bit is left of each byte that differs.
+    low, high = 0x7F7F7F7F7F7F7F, 0x80808080808080
+    apart = []
+    for c in _LONGS:
+        x = F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))
+        apart.append(F.bit_count((x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(high))))
+    return pairs.join(end("a"), "a").join(end("b"), "b").where(sum(apart[1:], apart[0]) <= int(_SPOTS - floor)).select("a", "b")
+
+
 def _verified(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -185,6 +203,7 @@ def alike_nodes(texts: DataFrame, least: float = 0.75, min_chars: int = 300) ->
     end = lambda x: forms.select("kind", *[F.col(c).alias(f"{x}{c[1:]}") for c in ("s1", "s2")], F.col("form").alias(x), F.col("f1").alias(f"{x}f1"), F.col("f2").alias(f"{x}f2"))
     told = met.join(end("a"), ["a1", "a2"]).join(end("b"), ["kind", "b1", "b2"]).where("af1 <> bf1 or af2 <> bf2")
     pairs = checkpointed(told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = checkpointed(_resembling(pairs, prints, least))
     wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     # The texts are by far the widest rows: up to a checked number of wanted nodes they are picked where they lie.
     picked = F.broadcast(wanted) if wanted.count() <= MAX_SENT else wanted

@@ -262,6 +262,22 @@ def test_near_duplicates_of_any_written_form(spark):
     assert got == want
 
 
+def test_chance_meetings_are_dropped_before_texts_are_read(spark):
+    rng = random.Random(10)
+    alike, rows, pairs = {}, [], []
+    for k in range(200):
+        a = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=900))
+        spots = rng.sample(range(5, 895, 5), 40 if k % 2 else 120)
+        rows += [(4 * k, 0, a), (4 * k + 2, 0, "".join(rng.choice("0123456789") if i in spots else c for i, c in enumerate(a)))]
+        pairs.append((4 * k, 4 * k + 2))
+        alike[pairs[-1]] = neardup.likeness(rows[-2][2], rows[-1][2])
+    types = ", ".join(f"{c} bigint" for c in (*neardup._LONGS, "s1", "s2", "f1", "f2", "w"))
+    prints = spark.createDataFrame(rows, "node bigint, kind int, text string").mapInPandas(neardup._sketch_batches, f"node bigint, kind int, {types}")
+    got = {(r.a, r.b) for r in neardup._resembling(spark.createDataFrame(pairs, "a bigint, b bigint"), prints, 0.75).collect()}
+    near, far = {p for p, j in alike.items() if j >= 0.75}, {p for p, j in alike.items() if j < 0.5}
+    assert len(near) > 50 and near <= got and len(far) == 100 and len(far & got) <= 5
+
+
 # Problem 6
 
 
