@@ -18,6 +18,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -47,6 +48,7 @@ MAX_SENT = 2_000_000
 _MARK = re.compile(r"\s*(\.\.\.+|…|\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|�+)$")
 _MARK_ENDS = ("...", "…", "]", ")", "）", "�")
 _STOP = ".!?。！？။"
+_STOPS = frozenset(_STOP)
 _INSIDE = re.compile(r"[.!?。！？။]\s*\S")
 _SENTENCE = re.compile(r"([^.!?。！？။\n]+)[.!?。！？။]")
 _WORDS = re.compile(r"[^\W_]+")
@@ -64,10 +66,16 @@ def _split_mark(text: str) -> tuple[str, str]:
     return (text[: m.start()].rstrip(), m[1][0] + m[1][-1]) if m else (text, "")
 
 
+#: ASCII in lower case, blanks for all but letters and digits.
+_PLAIN = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else 32 for c in range(256))
+
+
 def _units(s: str) -> list[str]:
     """Words, or single characters in scripts without blanks."""
+    if s.isascii():
+        return s.encode().translate(_PLAIN).decode().split()
     s = s.lower()
-    return [c for c in s if not c.isspace()] if not s.isascii() and _SPACELESS.search(s) else _WORDS.findall(s)
+    return list("".join(s.split())) if _SPACELESS.search(s) else _WORDS.findall(s)
 
 
 class _Codes(dict):
@@ -83,18 +91,30 @@ _STEP = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86
 _SALT, _MIX, _ALL = 0xA24BAED4963EE407, 0x94D049BB133111EB, (1 << 64) - 1
 
 
-def _places(words: list[str]) -> list[int]:
-    """Where the last word by itself and the last 1 to 4 words, one run each, are counted; -1 where there are not as many words."""
-    out, h = [-1] * 5, 0
-    for n, w in enumerate(words[:-5:-1], 1):
-        h = (h + _code[w] * _STEP[n - 1]) & _ALL
-        x = (h + n * _SALT) & _ALL
-        out[n] = (((x ^ (x >> 29)) * _MIX) & _ALL) >> 40
+def _last(words: list[str]) -> list[int]:
+    """Codes of the last four words, the last one first; -1 where there are not as many."""
+    out = [_code[w] for w in words[:-5:-1]]
+    return out + [-1] * (4 - len(out))
+
+
+def _placed(last: list[list[int]]) -> np.ndarray:
+    """Where the last word by itself and the last 1 to 4 words, one run each, of each row of ``_last`` are counted; -1 where there are not as many words."""
+    codes = np.fromiter(chain.from_iterable(last), np.int64, 4 * len(last)).reshape(-1, 4)
+    out, h = np.full((len(codes), 5), -1, np.int32), np.zeros(len(codes), np.uint64)
+    place = lambda x: (((x ^ (x >> np.uint64(29))) * np.uint64(_MIX)) >> np.uint64(40)).astype(np.int32)
+    for n in (1, 2, 3, 4):
+        there = codes[:, n - 1] >= 0
+        h += codes[:, n - 1].astype(np.uint64) * np.uint64(_STEP[n - 1])
+        out[there, n] = place(h[there] + np.uint64(n * _SALT & _ALL))
         if n == 1:
-            out[0] = (((h ^ (h >> 29)) * _MIX) & _ALL) >> 40
+            out[there, 0] = place(h[there])
     return out
 
 
+def _places(words: list[str]) -> list[int]:
+    return _placed([_last(words)])[0].tolist()
+
+
 class Counts:
     """How words behave inside the whole sentences of one task's texts: ``final`` at their ends, ``inner`` inside (and single words anywhere)."""
 
@@ -166,6 +186,18 @@ def _slot(feature: str) -> int:
     return crc32(feature.encode("utf-8", "surrogatepass")) % DIM
 
 
+class _Slots(dict):
+    """Slots of features of few values, kept."""
+
+    def __missing__(self, feature: str) -> int:
+        self[feature] = at = _slot(feature)
+        return at
+
+
+_slots = _Slots()
+_ENDS = (1, 2, 3, 4, 6, 8, 11, 15, 20, 30)
+_E = crc32(b"e")
+
 #: Slots of what counts tell, by script: of a word's scale, of a run's two scales, of the longest run known at ends.
 _WORD = np.array([[_slot(f"w{s}{a}") for a in range(40)] for s in "ln"])
 _RUN = np.array([[[[_slot(f"f{s}{n}{a}:{b}") for b in range(40)] for a in range(40)] for n in range(1, 5)] for s in "ln"])
@@ -188,45 +220,57 @@ def _counted(places: np.ndarray, script: np.ndarray, final: np.ndarray, inner: n
     return out
 
 
+def _ends_plainly(text: str) -> bool:
+    """The text ends in a stop that is no mark."""
+    return text[-1:] in _STOPS and not text.endswith("...")
+
+
 def features(tail: str, chars: int, bytes_: int, inner: bool, fields: bool, known: bool, spikes: dict, kind: int) -> tuple[list[int], list[int], int]:
-    """Slots of one text's features, places of its last words' counts, and its script (1 without blanks, 0 other, -1: ends in a stop). ``tail`` is its end (up to TAIL characters), ``inner`` whether a sentence ends before it,
+    """Slots of one text's features, codes of its last words, and its script (1 without blanks, 0 other, -1: ends in a stop). ``tail`` is its end (up to TAIL characters), ``inner`` whether a sentence ends before it,
     ``fields`` whether the text is made of labelled fields, ``known`` whether its last line recurs."""
+    if _ends_plainly(tail):
+        return [_slots[f"stop{tail[-1]}"], _slots["stop"]], _NOWHERE, -1
     body, mark = _split_mark(tail)
     cut_off = len(tail.rstrip()) - len(body)
-    out = [f"m{mark}", f"F{fields}{bool(mark)}"]
     closed = body.rstrip(_CLOSERS)
     if not mark and closed and closed[-1] in _STOP:
-        return [_slot(f"stop{closed[-1]}"), _slot("stop")], _NOWHERE, -1
+        return [_slots[f"stop{closed[-1]}"], _slots["stop"]], _NOWHERE, -1
     stopped = bool(closed) and closed[-1] in _STOP
-    s = closed.rstrip(_STOP) if stopped else body
-    out.append(f"s{stopped}{bool(mark)}")
-    low = s.lower()
+    low = (closed.rstrip(_STOP) if stopped else body).lower()
     script = "n" if not low.isascii() and _SPACELESS.search(low[-12:]) else "l"
     last = low[-1:] or " "
-    out += [f"c{script}", f"k{last if not last.isalnum() else 'd' if last.isdigit() else 'a'}"]
-    if last.isdigit():
-        out.append("list" if re.search(r"[.。]\s*\d+(?:, ?\d+)*$", low) else "number")
     line = re.sub(r"\d+", "0", low.rsplit("\n", 1)[-1].strip()) if "\n" in low else ""
-    out += [f"e{low[-n:]}" for n in (1, 2, 3, 4, 6, 8, 11, 15, 20, 30) if len(low) >= n]
-    out += [f"L{line}", f"n{bool(line)}", f"K{known}{bool(mark)}"]
-    u = _units(low)
-    out.append(f"u{script}{inner}{_scale(chars)}")
-    key = (kind, script)
-    near = [spikes.get((*key, "c", chars - cut_off), 0), spikes.get((*key, "c", chars), 0), spikes.get((*key, "b", bytes_ - cut_off), 0), spikes.get((*key, "b", bytes_), 0)]
-    out.append(f"p{max(near)}{bool(mark)}")
-    return [crc32(x.encode("utf-8", "surrogatepass")) % DIM for x in out], _places(u), int(script == "n")
+    slots = _slots
+    near = 0
+    if spikes:
+        get, key = spikes.get, (kind, script)
+        near = max(get((*key, "c", chars - cut_off), 0), get((*key, "c", chars), 0), get((*key, "b", bytes_ - cut_off), 0), get((*key, "b", bytes_), 0))
+    out = [
+        slots[f"m{mark}"], slots[f"F{fields}{bool(mark)}"], slots[f"s{stopped}{bool(mark)}"], slots["c" + script],
+        slots["k" + (last if not last.isalnum() else "d" if last.isdigit() else "a")],
+    ]
+    if last.isdigit():
+        out.append(slots["list" if re.search(r"[.。]\s*\d+(?:, ?\d+)*$", low) else "number"])
+    ends = _ENDS if len(low) >= _ENDS[-1] else [n for n in _ENDS if len(low) >= n]
+    if low.isascii():
+        end = low.encode()
+        out += [crc32(end[-n:], _E) % DIM for n in ends]
+    else:
+        out += [crc32(low[-n:].encode("utf-8", "surrogatepass"), _E) % DIM for n in ends]
+    out += [_slot(f"L{line}") if line else slots["L"], slots[f"n{bool(line)}"], slots[f"K{known}{bool(mark)}"], slots[f"u{script}{inner}{_scale(chars)}"], slots[f"p{near}{bool(mark)}"]]
+    return out, _last(_units(low)), int(script == "n")
 
 
-_NOWHERE = [-1] * 5
+_NOWHERE = [-1] * 4
 
 
 def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-    return np.fromiter((x for r in rows for x in r), np.int64, int(lengths.sum())), np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    return np.fromiter(chain.from_iterable(rows), np.int64, int(lengths.sum())), np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
 
 
 class _Block:
-    """Examples: slots (flat), where each one's begin, places and script for counts, label (0 whole, 1 cut, 2 not known) and weight."""
+    """Examples: slots (flat), where each one's begin, last words and script for counts, label (0 whole, 1 cut, 2 not known) and weight."""
 
     def __init__(self) -> None:
         self.rows: list[tuple[list[int], list[int], int]] = []
@@ -240,7 +284,7 @@ class _Block:
 
     def packed(self) -> bytes:
         index, begin = _flat([r[0] for r in self.rows])
-        places = np.array([r[1] for r in self.rows], np.int32).reshape(-1, 5)
+        places = _placed([r[1] for r in self.rows])
         return pickle.dumps((index.astype(np.int32), begin.astype(np.int32), places, np.array([r[2] for r in self.rows], np.int8), np.array(self.y, np.int8), np.array(self.weight, np.float32)))
 
 
@@ -331,7 +375,7 @@ class Model:
         if not rows:
             return np.zeros(0)
         index, begin = _flat([r[0] for r in rows])
-        counted = _counted(np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows], np.int8), *_tables(self.counts))
+        counted = _counted(_placed([r[1] for r in rows]), np.array([r[2] for r in rows], np.int8), *_tables(self.counts))
         return 1 / (1 + np.exp(-_logits(self.weights, index, begin, counted)))
 
 
@@ -390,7 +434,10 @@ def _examples(spikes: dict, seed: int) -> Callable:
 
     def of(text: str, kind: int, known: bool = False) -> tuple[list[int], list[int], int]:
         t = text.rstrip()
-        return features(t[-TAIL:], len(t), len(t.encode("utf-8", "surrogatepass")), bool(_INSIDE.search(t)), bool(_fields.search(t)), known, spikes, kind)
+        if _ends_plainly(t):
+            return features(t[-TAIL:], 0, 0, False, False, known, spikes, kind)
+        size = len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass"))
+        return features(t[-TAIL:], len(t), size, bool(_INSIDE.search(t)), bool(_fields.match(t)), known, spikes, kind)
 
     def examples(kind: int, text: str, known: bool, out: _Block, rng: np.random.Generator) -> None:
         t = text.rstrip()
@@ -401,15 +448,17 @@ def _examples(spikes: dict, seed: int) -> Callable:
             out.add(of(t, kind, known), 0)
             out.add(of(closed_body.rstrip(_STOP), kind), 0)
         elif not mark:
-            fields = _fields.search(t)
+            fields = _fields.match(t)
             if fields or known or re.search(r"[.。]\s*\d+, ?\d+$", t) or (len(body) < 45 and not re.search(r"[.!?。！？။]", body)):
                 # Whole values that end in no stop are few: they weigh more.
                 out.add(of(t, kind, known), 0, 12 if fields or not _INSIDE.search(t) else 3)
             else:
                 out.add(of(t, kind, known), 2)
-        for _ in range(2 if whole and len(t) > 12 else 0):
-            script = "n" if _SPACELESS.search(t[-12:]) else "l"
-            fitting = [x for x in limits[kind, script] if x < len(t) - 1]
+        if not whole or len(t) <= 12:
+            return
+        script = "n" if _SPACELESS.search(t[-12:]) else "l"
+        fitting = [x for x in limits[kind, script] if x < len(t) - 1]
+        for _ in range(2):
             if fitting and rng.random() < 0.5:
                 at = fitting[rng.integers(len(fitting))]
             else:

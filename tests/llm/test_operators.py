@@ -457,6 +457,18 @@ def test_hot_buckets_are_split(spark, monkeypatch):
     assert {(r.a, r.b) for r in neardup.alike_pairs(df).collect()} == whole
 
 
+def test_plain_ends_are_told_at_once_and_places_of_many_rows(monkeypatch):
+    words = [["a", "hapax"], [], ["one", "two", "three", "four", "five"], ["夢"]]
+    placed = truncation._placed([truncation._last(w) for w in words])
+    assert [truncation._places(w) for w in words] == placed.tolist()
+    assert placed[1].tolist() == [-1] * 5 and (placed[0] >= 0).tolist() == [True, True, True, False, False] and placed[2].min() >= 0
+    assert truncation._units("It's 2 Cats_and—Über") == ["it", "s", "2", "cats", "and", "über"] and truncation._units("A_b 夢 x") == list("a_b夢x")
+    marked = truncation.features("He said so...", 13, 13, False, False, False, {}, 0)
+    assert marked[2] == 0 and truncation._slot("m..") in marked[0]
+    monkeypatch.setattr(truncation, "_split_mark", None)
+    assert truncation.features("He said so.", 11, 11, False, False, False, {}, 0) == ([truncation._slot("stop."), truncation._slot("stop")], [-1] * 4, -1)
+
+
 def test_hot_form_with_few_variants(spark):
     rows = [(k, "file") for k in range(300)] + [(300, "ﬁle"), (301, "filе"), (302, "other"), (303, "other")]
     forms = canonical.one_form(spark.createDataFrame(rows, "id bigint, text string"), ["id"])
