@@ -50,7 +50,8 @@ _MARK_ENDS = ("...", "…", "]", ")", "）", "�")
 _STOP = ".!?。！？။"
 _STOPS = frozenset(_STOP)
 _INSIDE = re.compile(r"[.!?。！？။]\s*\S")
-_SENTENCE = re.compile(r"([^.!?。！？။\n]+)[.!?。！？။]")
+#: What stands between stops, and its stop; without one it is no sentence. (With a stop that must be there a long text without any is read again from each character.)
+_SENTENCE = re.compile(r"([^.!?。！？။\n]+)([.!?。！？။]?)")
 _WORDS = re.compile(r"[^\W_]+")
 _CLOSERS = "\"'”’»)]」』）"
 _SPACELESS = re.compile(r"[㐀-鿿぀-ヿက-႟]")
@@ -124,8 +125,8 @@ class Counts:
         self.sizes: list[int] = []
 
     def learn(self, text: str) -> None:
-        for sentence in _SENTENCE.findall(text):
-            u = _units(sentence)
+        for sentence, stop in _SENTENCE.findall(text):
+            u = _units(sentence) if stop else None
             if u:
                 self.codes += map(_code.__getitem__, u)
                 self.sizes.append(len(u))

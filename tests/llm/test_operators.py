@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -469,6 +470,12 @@ def test_plain_ends_are_told_at_once_and_places_of_many_rows(monkeypatch):
     assert truncation.features("He said so.", 11, 11, False, False, False, {}, 0) == ([truncation._slot("stop."), truncation._slot("stop")], [-1] * 4, -1)
 
 
+def test_long_text_without_a_stop_is_read_once():
+    counts, began = truncation.Counts(), time.process_time()
+    counts.learn("x" * 300_000 + "\n" + "One two. Three")
+    assert time.process_time() - began < 10 and counts.sizes == [2]
+
+
 def test_hot_form_with_few_variants(spark):
     rows = [(k, "file") for k in range(300)] + [(300, "ﬁle"), (301, "filе"), (302, "other"), (303, "other")]
     forms = canonical.one_form(spark.createDataFrame(rows, "id bigint, text string"), ["id"])
