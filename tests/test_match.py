@@ -230,3 +230,10 @@ def test_contexts_are_made_in_one_pass(spark, capsys):
     }
     df.explain()
     assert "Eval" not in capsys.readouterr().out
+
+
+def test_all_pairs_are_handed_over_without_places(spark):
+    ctx, features = frames(spark)
+    met, blocks = match._meet(ctx, features, "ord", None, match.LINES)
+    assert blocks == 1 and met.columns == ["ord", "row_no", "score", "phrase_hit", "ja_full"] == match.match_candidates(ctx, features, "ord").columns
+    assert sorted(map(tuple, met.collect())) == sorted(map(tuple, match.match_candidates(ctx, features, "ord", 4).collect()))
