@@ -414,6 +414,15 @@ def test_subjects_are_fitted_on_all_documents(spark, monkeypatch):
     assert {t: n for t, n, _ in subjects._counted_terms(df, 800)}[own["law"][0]] == sum(own["law"][0] in x for _, d in docs for x in d.split("."))
 
 
+def test_subjects_are_found_whatever_documents_topics_start_from(spark):
+    shift, d = 4_000_000_000, "/root/testdata/sf0.1"  # the numbers decide which documents topics start from; here two starts missed a subject of a language
+    df, lab = (spark.read.parquet(f"{d}/{t}.parquet").withColumn("doc_id", F.col("doc_id") + shift) for t in ("documents", "subject_labels"))
+    model = subjects.fit(df, lab)
+    got = {tuple(r) for r in subjects.assign(df.join(lab.select("doc_id").distinct(), "doc_id"), model).select("doc_id", "subject").collect()}
+    true = {tuple(r) for r in lab.where("subject <> 'none'").collect()}
+    assert len(got & true) >= 0.97 * len(true) and len(got & true) >= 0.99 * len(got)
+
+
 def test_fitted_topics_part_what_their_starts_mix():
     rng = random.Random(19)
     true, size = 6, 15
