@@ -237,3 +237,22 @@ def test_all_pairs_are_handed_over_without_places(spark):
     met, blocks = match._meet(ctx, features, "ord", None, match.LINES)
     assert blocks == 1 and met.columns == ["ord", "row_no", "score", "phrase_hit", "ja_full"] == match.match_candidates(ctx, features, "ord").columns
     assert sorted(map(tuple, met.collect())) == sorted(map(tuple, match.match_candidates(ctx, features, "ord", 4).collect()))
+
+
+def test_diverse_over_blocks_moves_no_pairs(spark, monkeypatch):
+    rng = random.Random(29)
+    bits = ["犬", "黒い", "蛇", "水", "家", "海", "夢", "ヘビ", "snake", "black", " ", "の", "アパート"]
+    make = lambda n: "".join(rng.choices(bits, k=n))
+    terms = [make(rng.randint(1, 3)) for _ in range(60)]
+    ctx, f = frames(spark, terms + terms[:30], [make(rng.randint(2, 14)) for _ in range(80)])
+    ctx, f = checkpointed(ctx), checkpointed(f)
+    want = sorted(map(tuple, match.match_diverse(match.match_candidates(ctx, f, "ord"), f, "ord", 4).collect()))
+    monkeypatch.setattr(match, "_HELD_PAIRS", 50, raising=False)
+    for lines in (7, 30, 1000):
+        got = match.diverse_of_texts(ctx, f, "ord", True, 4, lines)
+        assert sorted(map(tuple, got.collect())) == want and len(want) > 100
+        assert "Exchange" not in got._jdf.queryExecution().toString()
+    sent, made = [], match._blocks
+    monkeypatch.setattr(match, "_blocks", lambda f, *a: (sent.append(f.count()), made(f, *a))[1])
+    match.diverse_of_texts(ctx, f, "ord", True, 4, 1000)
+    assert sent == [f.select("term", "phrase", "latin_phrase", "kanji", "other", "latin").distinct().count()] and sent[0] < 90
