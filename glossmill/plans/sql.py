@@ -160,6 +160,8 @@ cand as (
 topk as (
   select *, row_number() over (partition by ord order by score desc, length(phrase) desc, length(term), row_no) as place from cand where score > 0 qualify place <= 12
 )"""
+# The original terms as a whole, not their first 48 characters.
+_CANDIDATES_WHOLE = _CANDIDATES.replace("substr(coalesce(text, ''), 1, 48)", "coalesce(text, '')")
 _SHARED = "len(list_filter(a.ks, lambda x: list_contains(r.kanji, x)))"
 _DIVERSE = f"""
 {_CANDIDATES},
@@ -297,7 +299,7 @@ select i as row_no, least(i // size, 127) as shard, i - least(i // size, 127) *
     "lexicon_features": f"with {_INDEX} select row_no, phrase, array_to_string(kanji, '|') as kanji, array_to_string(other, '|') as other, array_to_string(latin, '|') as latin from feats",
     "keyword_classes": f"with {_INDEX} select kw, count(*) as uses from (select unnest(list_concat(list_concat(kanji, other), latin)) as kw from feats) group by kw",
     "synonym_bridge": f"with {_CONTEXT} select ord, array_to_string(kanji_runs, '|') as runs from ctx",
-    "match_candidates": f"with {_CANDIDATES} select ord, row_no, score, phrase_hit, ja_full from cand where score > 0",
+    "match_candidates": f"with {_CANDIDATES_WHOLE} select ord, row_no, score, phrase_hit, ja_full from cand where score > 0",
     "match_topk": f"with {_CANDIDATES} select ord, row_no, score, place from topk",
     "match_diverse": f"with recursive {_DIVERSE} select ord, row_no, score, n as place from walk where taken",
     "theme_scores": f"""with {_CANDIDATES},

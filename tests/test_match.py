@@ -256,3 +256,14 @@ def test_diverse_over_blocks_moves_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(match, "_blocks", lambda f, *a: (sent.append(f.count()), made(f, *a))[1])
     match.diverse_of_texts(ctx, f, "ord", True, 4, 1000)
     assert sent == [f.select("term", "phrase", "latin_phrase", "kanji", "other", "latin").distinct().count()] and sent[0] < 90
+
+
+def long_original(spark, folder):
+    """A line whose Latin keywords stand behind the 48th character of its original, and a text with them."""
+    spark.createDataFrame([(1, "en", "A silver bridge")], "ord bigint, language string, meaning string").write.parquet(str(folder / "raw_entries.parquet"))
+    spark.createDataFrame([(7, "en", "- " * 30 + "silver bridge", "犬")], "line_no bigint, lang string, text string, v string").write.parquet(str(folder / "translation_cache.parquet"))
+    return str(folder)
+
+
+def test_candidates_read_whole_originals(spark, tmp_path):
+    assert [tuple(r) for r in QUERIES["match_candidates"](spark, long_original(spark, tmp_path)).collect()] == [(1, 7, 180, False, False)]
