@@ -300,7 +300,7 @@ select i as row_no, least(i // size, 127) as shard, i - least(i // size, 127) *
     "keyword_classes": f"with {_INDEX} select kw, count(*) as uses from (select unnest(list_concat(list_concat(kanji, other), latin)) as kw from feats) group by kw",
     "synonym_bridge": f"with {_CONTEXT} select ord, array_to_string(kanji_runs, '|') as runs from ctx",
     "match_candidates": f"with {_CANDIDATES_WHOLE} select ord, row_no, score, phrase_hit, ja_full from cand where score > 0",
-    "match_topk": f"with {_CANDIDATES} select ord, row_no, score, place from topk",
+    "match_topk": f"with {_CANDIDATES_WHOLE} select ord, row_no, score, place from topk",
     "match_diverse": f"with recursive {_DIVERSE} select ord, row_no, score, n as place from walk where taken",
     "theme_scores": f"""with {_CANDIDATES},
 i as (select ord, place, v, case when tone <> 0 then tone else sign({_hits("v", pack.READING_GOOD)} - {_hits("v", pack.READING_ILL)})::bigint end as polarity from topk),

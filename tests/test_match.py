@@ -267,3 +267,7 @@ def long_original(spark, folder):
 
 def test_candidates_read_whole_originals(spark, tmp_path):
     assert [tuple(r) for r in QUERIES["match_candidates"](spark, long_original(spark, tmp_path)).collect()] == [(1, 7, 180, False, False)]
+
+
+def test_topk_reads_whole_originals(spark, tmp_path):
+    assert [tuple(r) for r in QUERIES["match_topk"](spark, long_original(spark, tmp_path)).collect()] == [(1, 7, 180, 1)]
