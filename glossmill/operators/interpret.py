@@ -19,6 +19,19 @@ def shard_lookup(matches: DataFrame, index: DataFrame, payload: DataFrame) -> Da
     return rows.join(packed, ["shard", "idx"], "left")
 
 
+def told_senses(index: DataFrame, payload: DataFrame) -> DataFrame:
+    """``row_no, pick, term, tone, orig, meaning, hay, o`` of each line's senses: ``pick`` is the place of one of several (with what choosing among them reads in ``hay`` and ``o``) or 0 for a lone
+    one and for a line without any, whose own tone and original stand."""
+    several = F.count("place").over(Window.partitionBy("row_no")) > 1
+    rows = index.select("row_no", "term", F.col("tone").alias("row_tone"), F.col("orig").alias("row_orig"), "shard", "idx")
+    s = rows.join(payload.select("shard", "idx", "place", "tone", "orig", "meanings"), ["shard", "idx"], "left").withColumn("several", several)
+    told = s.select(
+        "row_no", F.when(F.col("several"), F.col("place")).otherwise(0).cast("int").alias("pick"), "term", F.coalesce("tone", "row_tone").alias("tone"),
+        F.coalesce("orig", "row_orig").alias("orig"), F.get("meanings", F.lit(0)).alias("meaning"), F.array_join("meanings", "").alias("whole"), F.col("orig").alias("own"),
+    )
+    return told.withColumn("hay", X.fold_kana(X.normalize_key(F.col("whole")))).withColumn("o", X.normalize_key(F.col("own"))).drop("whole", "own")
+
+
 def pick_sense(attached: DataFrame, ctx: DataFrame, key: str) -> DataFrame:
     """``attached`` with ``sense``: the one whose wording shares most with the text, the first of equals; a lone one as it is.
 

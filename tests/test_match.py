@@ -271,3 +271,14 @@ def test_candidates_read_whole_originals(spark, tmp_path):
 
 def test_topk_reads_whole_originals(spark, tmp_path):
     assert [tuple(r) for r in QUERIES["match_topk"](spark, long_original(spark, tmp_path)).collect()] == [(1, 7, 180, 1)]
+
+
+def test_senses_are_chosen_where_texts_are_met(spark, monkeypatch):
+    d, sizes = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(catalogue, "checkpointed", lambda df: (sizes.append(df.columns), checkpointed(df))[1])
+    got = QUERIES["pick_sense"](spark, d)
+    assert "hashpartitioning(ord" not in got._jdf.queryExecution().toString() and not any("fold" in columns for columns in sizes)
+    monkeypatch.setattr(bindings, "apart", lambda *_: False)
+    want = QUERIES["pick_sense"](spark, d)
+    assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.count() > 100
